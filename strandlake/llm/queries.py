@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitpack, quality_rules
+from . import bitpack, quality_rules, toxicity, warc
 from .common import read_table
 
 
@@ -15,6 +15,14 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score and predicted of each document."""
+    docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    model = toxicity.train(*toxicity.sample(docs, labels))
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, the counts, base_failed and kept of each document."""
     docs = quality_rules.annotate(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -22,6 +30,12 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", *(F.col("quality")[n].alias(n) for n in names))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, payload_bytes, payload_digest, record_type and refers_to of each page, read from the archive."""
+    archive = warc.write_archive(read_table(spark, sf_dir, "pages"), least_bytes=0)
+    return warc.read_archive(archive).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op10_bit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of each document, from the segments written."""
     docs = read_table(spark, sf_dir, "documents")
@@ -30,4 +44,4 @@ def op10_bit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitpack.with_global_start(read, segments).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
-QUERIES = {f.__name__: f for f in (op4_quality_rules, op10_bit_packing)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op4_quality_rules, op6_warc, op10_bit_packing)}
