@@ -62,4 +62,24 @@ SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least(d.doc_id, min(r.b
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN r ON r.a = d.doc_id GROUP BY d.doc_id, n.n"""
 
 
-ORACLES = {"op3_ngram_jaccard_join": _JACCARD, "op6_warc": _WARC, "op4_quality_rules": _quality()}
+_TEMPLATES = r"""
+WITH x AS (
+  SELECT doc_id, i, t[i] AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS t FROM documents WHERE text IS NOT NULL), unnest(range(1, len(t) + 1)) AS u(i)),
+w AS (
+  SELECT doc_id, i, line, list_filter(string_split_regex(regexp_replace(line, '[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*', '<*>', 'g'), '[\x20\x09-\x0D]+'), lambda y: y <> '') AS w
+  FROM x),
+k AS (
+  SELECT doc_id, i, len(w) || ' W ' || array_to_string(w, ' ') AS leaf FROM w WHERE len(w) >= 5
+  UNION ALL SELECT doc_id, i, len(w) || ' L ' || array_to_string(w[1:(len(w) + 1) // 2], ' ') FROM w WHERE len(w) >= 12
+  UNION ALL SELECT doc_id, i, len(w) || ' R ' || array_to_string(w[1:2], ' ') || ' <*> ' || array_to_string(w[len(w) - len(w) // 2 + 1:], ' ') FROM w WHERE len(w) >= 12),
+f AS (SELECT leaf, min(doc_id) AS first FROM k GROUP BY leaf HAVING count(DISTINCT doc_id) >= 2),
+gone AS (SELECT DISTINCT doc_id, i FROM k JOIN f USING (leaf) WHERE doc_id <> first),
+s AS (
+  SELECT x.doc_id, count(*)::BIGINT AS n_lines, count(gone.i)::BIGINT AS n_dropped,
+         coalesce(string_agg(line, chr(10) ORDER BY x.i) FILTER (gone.i IS NULL), '') AS text
+  FROM x LEFT JOIN gone USING (doc_id, i) GROUP BY x.doc_id)
+SELECT d.doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_dropped, 0)::BIGINT AS n_dropped, s.text
+FROM documents d LEFT JOIN s USING (doc_id)"""
+
+
+ORACLES = {"op8_line_templates": _TEMPLATES, "op3_ngram_jaccard_join": _JACCARD, "op6_warc": _WARC, "op4_quality_rules": _quality()}

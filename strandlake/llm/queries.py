@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitpack, ngram_join, quality_rules, toxicity, warc
+from . import bitpack, line_templates, ngram_join, quality_rules, string_tiling, toxicity, warc
 from .common import read_table
 
 
@@ -23,6 +23,12 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
 
 
+def op2_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, item_id, n_tiles, covered_words and item_words of each leak."""
+    found = string_tiling.leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "n_tiles", "covered_words", "item_words")
+
+
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_shingles and component_id of each document."""
     return ngram_join.near_duplicates(read_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
@@ -41,6 +47,11 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archive(archive).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op8_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_lines, n_dropped and the text that is left of each document."""
+    return line_templates.drop_recurring(read_table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", "text")
+
+
 def op10_bit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of each document, from the segments written."""
     docs = read_table(spark, sf_dir, "documents")
@@ -49,4 +60,4 @@ def op10_bit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitpack.with_global_start(read, segments).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op3_ngram_jaccard_join, op4_quality_rules, op6_warc, op10_bit_packing)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_string_tiling, op3_ngram_jaccard_join, op4_quality_rules, op6_warc, op8_line_templates, op10_bit_packing)}

@@ -1,33 +1,60 @@
-"""Word shingles of whole texts as 64-bit hashes, in numpy.
+"""Words and word shingles of whole texts as 64-bit hashes, in numpy.
 
-Words are the runs between ASCII white space of the text with A-Z in lower case; `bytes.lower` and
-`bytes.split` do just that.  Each word is hashed once a process (the memo is bounded), and the hashes of
-`k` neighbouring words are mixed in order.  Two different shingles of one pair of documents share a hash
-with a probability of about 1e-13 for the longest texts.
+A word's hash is a polynomial over random values of its bytes, modulo 2**64, and is mixed afterwards.  All
+words of a text are hashed at once: each byte's value is multiplied by a power of the base that goes by its
+place in the text, sums are taken from word to word, and the power of a word's start is divided out again
+(the base is odd, so it has an inverse).  Nothing is kept between texts but the powers.  Two different
+shingles of one pair of documents share a hash with a probability of about 1e-13 for the longest texts.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import xxhash
 
+_BASE = 0x9E3779B97F4A7C15
+_M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+_S1, _S2 = np.uint64(32), np.uint64(29)
+_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
 
+def _grow(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n or more powers of the base and of its inverse."""
+    if len(_powers[0]) < n:
+        for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
+            steps = np.full(2 * n, base, np.uint64)
+            steps[0] = 1
+            _powers[k] = np.multiply.accumulate(steps)
+    return _powers[0], _powers[1]
 
-_known = _Hashes()
-_M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
-_S1, _S2 = np.uint64(32), np.uint64(29)
+
+class Words:
+    """Hashes of the runs between separator bytes, A-Z taken as a-z."""
+
+    def __init__(self, separators: bytes):
+        values = np.random.default_rng(20240607).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        values[ord("A") : ord("Z") + 1] = values[ord("a") : ord("z") + 1]
+        self.inside = np.ones(256, bool)
+        self.inside[list(separators)] = False
+        self.values = np.where(self.inside, values, np.uint64(0))
+
+    def hashes(self, text: bytes | None) -> np.ndarray:
+        raw = np.frombuffer(text or b"", np.uint8)
+        inside = self.inside[raw]
+        starts = np.flatnonzero(inside[1:] & ~inside[:-1]) + 1
+        if len(raw) and inside[0]:
+            starts = np.concatenate((np.zeros(1, np.int64), starts))
+        if not len(starts):
+            return np.zeros(0, np.uint64)
+        power, inverse = _grow(len(raw))
+        out = np.add.reduceat(self.values[raw] * power[: len(raw)], starts) * inverse[starts]
+        out ^= out >> _S1
+        out *= _M1
+        out ^= out >> _S2
+        return out
 
 
-def word_hashes(text: bytes | None) -> np.ndarray:
-    words = (text or b"").lower().split()
-    if len(_known) > 1_000_000:
-        _known.clear()
-    return np.fromiter(map(_known.__getitem__, words), np.uint64, len(words))
+#: Words between ASCII white space.
+PLAIN = Words(b" \t\n\x0b\x0c\r")
 
 
 def windows(hashes: np.ndarray, k: int) -> np.ndarray:
@@ -47,5 +74,8 @@ def windows(hashes: np.ndarray, k: int) -> np.ndarray:
 
 def shingle_set(text: bytes | None, k: int = 5) -> np.ndarray:
     """Distinct shingles in ascending order; a text of fewer than k words is one shingle, one without words has none."""
-    hashes = word_hashes(text)
-    return np.unique(windows(hashes, min(k, len(hashes)))) if len(hashes) else hashes
+    hashes = PLAIN.hashes(text)
+    if not len(hashes):
+        return hashes
+    out = np.sort(windows(hashes, min(k, len(hashes))))
+    return out[np.concatenate((np.ones(1, bool), out[1:] != out[:-1]))]
