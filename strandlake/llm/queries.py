@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitpack, line_templates, ngram_join, quality_rules, string_tiling, toxicity, warc
+from . import bitpack, line_templates, ngram_join, packing, quality_rules, string_tiling, toxicity, warc
 from .common import read_table
 
 
@@ -41,6 +41,12 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", *(F.col("quality")[n].alias(n) for n in names))
 
 
+def op5_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, start, length, ids_crc32, doc_tokens, sequence_id and offset of each piece."""
+    pieces = packing.pack(read_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), window=1024, end_id=0)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type and refers_to of each page, read from the archive."""
     archive = warc.write_archive(read_table(spark, sf_dir, "pages"), least_bytes=0)
@@ -60,4 +66,4 @@ def op10_bit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitpack.with_global_start(read, segments).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_string_tiling, op3_ngram_jaccard_join, op4_quality_rules, op6_warc, op8_line_templates, op10_bit_packing)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_string_tiling, op3_ngram_jaccard_join, op4_quality_rules, op5_retrieval_packing, op6_warc, op8_line_templates, op10_bit_packing)}
