@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitpack, line_templates, ngram_join, packing, quality_rules, string_tiling, toxicity, warc
+from . import bitpack, line_templates, ngram_join, packing, pii, quality_rules, string_tiling, toxicity, warc
 from .common import read_table
 
 
@@ -58,6 +58,14 @@ def op8_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_templates.drop_recurring(read_table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", "text")
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, counts and a digest of the base spans, and all spans of each document."""
+    docs = read_table(spark, sf_dir, "documents")
+    found = pii.detect(docs, pii.train(docs))
+    counts = [F.size(F.filter("base", lambda x, k=k: F.startswith(x, F.lit(f"{k}:")))).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(F.array_join("base", ","), 256).alias("base_sha256"), F.array_join("spans", ",").alias("spans"))
+
+
 def op10_bit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of each document, from the segments written."""
     docs = read_table(spark, sf_dir, "documents")
@@ -66,4 +74,4 @@ def op10_bit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitpack.with_global_start(read, segments).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_string_tiling, op3_ngram_jaccard_join, op4_quality_rules, op5_retrieval_packing, op6_warc, op8_line_templates, op10_bit_packing)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_string_tiling, op3_ngram_jaccard_join, op4_quality_rules, op5_retrieval_packing, op6_warc, op8_line_templates, op9_pii, op10_bit_packing)}
