@@ -82,4 +82,25 @@ SELECT d.doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_dropped, 0)
 FROM documents d LEFT JOIN s USING (doc_id)"""
 
 
-ORACLES = {"op8_line_templates": _TEMPLATES, "op3_ngram_jaccard_join": _JACCARD, "op6_warc": _WARC, "op4_quality_rules": _quality()}
+_BACKOFF = r"""
+WITH d AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w
+  FROM documents),
+t AS (SELECT doc_id, i, w[i] AS a, CASE WHEN i > 1 THEN w[i - 1] || ' ' || w[i] END AS b, CASE WHEN i > 2 THEN w[i - 2] || ' ' || w[i - 1] || ' ' || w[i] END AS c
+      FROM d, unnest(range(1, len(w) + 1)) AS u(i)),
+a AS (SELECT a, count(*) AS n FROM t GROUP BY a),
+b AS (SELECT b, count(*) AS n FROM t WHERE b IS NOT NULL GROUP BY b),
+c AS (SELECT c, count(*) AS n FROM t WHERE c IS NOT NULL GROUP BY c),
+s AS (
+  SELECT t.doc_id, t.i, a.n AS a, b.n AS b, c.n AS c,
+         lag(a.n) OVER x AS a1, lag(b.n) OVER x AS b1, (SELECT count(*) FROM t) AS words
+  FROM t JOIN a ON a.a = t.a LEFT JOIN b ON b.b = t.b LEFT JOIN c ON c.c = t.c WINDOW x AS (PARTITION BY t.doc_id ORDER BY t.i)),
+v AS (
+  SELECT doc_id, CASE WHEN c >= 2 THEN ln(c / b1::DOUBLE)
+                      WHEN b >= 2 THEN ln(b / a1::DOUBLE) + least(i - 2, 1) * ln(0.4::DOUBLE)
+                      ELSE ln(a / words::DOUBLE) + least(i - 1, 2) * ln(0.4::DOUBLE) END AS v FROM s)
+SELECT d.doc_id, count(v)::BIGINT AS n_words, round(sum(v) / count(v), 6) AS mean_log_score
+FROM d LEFT JOIN v USING (doc_id) GROUP BY d.doc_id"""
+
+
+ORACLES = {"op7_stupid_backoff": _BACKOFF, "op8_line_templates": _TEMPLATES, "op3_ngram_jaccard_join": _JACCARD, "op6_warc": _WARC, "op4_quality_rules": _quality()}

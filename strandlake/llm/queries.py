@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitpack, line_templates, ngram_join, packing, pii, quality_rules, string_tiling, toxicity, warc
+from . import bitpack, line_templates, lm_scoring, ngram_join, packing, pii, quality_rules, string_tiling, toxicity, warc
 from .common import read_table
 
 
@@ -53,6 +53,13 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archive(archive).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op7_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_words and mean_log_score (natural, to six decimals) of each document."""
+    found = lm_scoring.scores(read_table(spark, sf_dir, "documents"))
+    mean = F.when(F.col("n_words") > 0, F.round(F.col("score") / F.col("n_words"), 6))
+    return found.select("doc_id", "n_words", mean.alias("mean_log_score"))
+
+
 def op8_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_lines, n_dropped and the text that is left of each document."""
     return line_templates.drop_recurring(read_table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", "text")
@@ -74,4 +81,4 @@ def op10_bit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitpack.with_global_start(read, segments).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_string_tiling, op3_ngram_jaccard_join, op4_quality_rules, op5_retrieval_packing, op6_warc, op8_line_templates, op9_pii, op10_bit_packing)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_string_tiling, op3_ngram_jaccard_join, op4_quality_rules, op5_retrieval_packing, op6_warc, op7_stupid_backoff, op8_line_templates, op9_pii, op10_bit_packing)}
