@@ -25,8 +25,8 @@ Steps (each only moves what is left):
 
 No link between different components is lost; links within one component need not all be listed.
 
-Null and empty texts have no shingles and are linked with nothing.  Rows that repeat a doc_id count as one
-document if their texts agree (else the largest set stands for it).  Extra columns are ignored.
+Null and empty texts have no shingles and are linked with nothing.  Rows that repeat a doc_id each get a
+row, and are one node: it is linked with whatever any of its texts is linked with.  Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -43,12 +43,12 @@ from .common import input_bytes, stored, shared_path, text_bytes
 from .graph import components
 from .shingles import shingle_set
 
-GROUPS = 32
+GROUPS = 64
 FANOUT = 32
 TILE = 2048
 HOT = 4096
 CHUNK = 1 << 14
-_SHIFT = np.uint64(64 - 5)
+_SHIFT = np.uint64(64 - 6)
 #: Up to so many ids (8 MB) are broadcast to pick the texts to verify; more are joined by a shuffle.
 MOST_BROADCAST = 1_000_000
 
@@ -75,9 +75,7 @@ def describe(docs: DataFrame, k: int, cells: int) -> tuple[DataFrame, np.ndarray
             ids, sizes, prints, points = b.column(0), [], [], []
             for t in text_bytes(b.column(1)):
                 s = shingle_set(t, k)
-                counts += np.bincount(_cells(s, cells), minlength=cells).astype(np.uint32) if len(s) > cells // 8 else np.uint32(0)
-                if len(s) <= cells // 8:
-                    np.add.at(counts, _cells(s, cells), np.uint32(1))
+                np.add.at(counts, _cells(s, cells), np.uint32(1))
                 sizes.append(len(s))
                 prints.append(xxhash.xxh3_128_digest(s.tobytes()))
                 points.append(point(s).tobytes())
@@ -128,7 +126,7 @@ def prefixes(docs: DataFrame, k: int, percent: int, sketch: np.ndarray) -> DataF
                 seen.add(mark)
                 often = counts[_cells(s, cells)]
                 length = len(s) - -(-percent * len(s) // 100) + 1
-                first = np.lexsort((s, often))[:length]
+                first = np.argsort(often, kind="stable")[:length]  # ties by hash: s is in order
                 found.append(s[first])
                 owners.append(np.full(length, doc_id, np.int64))
                 n = often[first] // HOT
@@ -147,34 +145,40 @@ def reaches(overlap, union, percent: int):
 def verify(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
     """Those of pairs(a, b) of which the whole shingle sets reach the threshold."""
 
-    def sets(batches):
-        for b in batches:
-            found = [shingle_set(t, k) for t in text_bytes(b.column(1))]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.tobytes() for s in found], pa.binary())], names=["doc_id", "s"])
-
     def check(batches):
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                s, t = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                s, t = (s, t) if len(s) <= len(t) else (t, s)
-                ok = reaches(len(s), len(t), percent)
-                if ok:
-                    most = int(np.minimum(point(s), point(t)).sum())
-                    ok = reaches(most, len(s) + len(t) - most, percent)
-                if ok:
-                    at = np.searchsorted(t, s)
-                    both = int((t[np.minimum(at, len(t) - 1)] == s).sum())
-                    ok = reaches(both, len(s) + len(t) - both, percent)
-                keep.append(ok)
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep)), batch.column(1).filter(pa.array(keep))], names=["a", "b"])
+            keep, last, held, t = [], None, None, None
+            for x, b, y in zip(text_bytes(batch.column(2)), batch.column(1).to_pylist(), text_bytes(batch.column(3)), strict=True):
+                s = shingle_set(x, k)
+                if b != last or y != held:
+                    last, held, t = b, y, shingle_set(y, k)
+                at = np.searchsorted(t, s)
+                both = int((t[np.minimum(at, len(t) - 1)] == s).sum()) if len(t) else 0
+                keep.append(reaches(both, len(s) + len(t) - both, percent))
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep, pa.bool_())), batch.column(1).filter(pa.array(keep, pa.bool_()))], names=["a", "b"])
 
     wanted = stored(pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct(), "wanted")
     chosen = F.broadcast(wanted) if wanted.count() <= MOST_BROADCAST else wanted
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(chosen, "doc_id", "left_semi")
-    made = stored(texts.mapInArrow(sets, "doc_id long, s binary").groupBy("doc_id").agg(F.max_by("s", F.length("s")).alias("s")), "sets")
-    left = pairs.join(made.select(F.col("doc_id").alias("a"), F.col("s").alias("s")), "a")
-    return left.join(made.select(F.col("doc_id").alias("b"), F.col("s").alias("t")), "b").select("a", "b", "s", "t").mapInArrow(check, "a long, b long")
+    left = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("x")), "a")
+    return left.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("y")), "b").select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
+
+
+def bounded(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
+    """Those of pairs(a, b) whose points leave the threshold possible."""
+
+    def check(batches):
+        for b in batches:
+            n, m = b.column(2).to_numpy(), b.column(3).to_numpy()
+            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint32).reshape(-1, GROUPS) for c in (4, 5))
+            most = np.minimum(x, y).sum(axis=1, dtype=np.int64)
+            keep = pa.array(reaches(most, n + m - most, percent))
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], names=["a", "b"])
+
+    one = pairs.join(points.select(F.col("doc_id").alias("a"), F.col("n"), F.col("point").alias("x")), "a")
+    both = one.join(points.select(F.col("doc_id").alias("b"), F.col("n").alias("m"), F.col("point").alias("y")), "b")
+    near = both.where((100 * F.col("n") >= percent * F.col("m")) & (100 * F.col("m") >= percent * F.col("n")))
+    return near.select("a", "b", "n", "m", "x", "y").mapInArrow(check, "a long, b long").distinct()
 
 
 class RTree:
@@ -258,7 +262,6 @@ def _search(percent: int):
 def join(docs: DataFrame, k: int = 5, percent: int = 80, tile: int = TILE) -> tuple[DataFrame, DataFrame]:
     """(members, links): doc_id, n_shingles, class_id and component_id of each document; verified pairs (a, b) of classes."""
     points, sketch = describe(docs, k, sketch_cells(docs))
-    points = points.groupBy("doc_id").agg(F.max_by(F.struct("n", "print", "point"), F.struct("n", "print")).alias("x")).select("doc_id", "x.*")
     classes = points.where("n > 0").groupBy("print", "n").agg(F.min("doc_id").alias("class_id"))
     members = stored(points.select("doc_id", "n", "print").join(classes, ["print", "n"], "left").select("doc_id", "n", F.coalesce("class_id", "doc_id").alias("class_id")), "members")
     same = Window.partitionBy("shingle", "salt").orderBy("doc_id")
@@ -267,7 +270,7 @@ def join(docs: DataFrame, k: int = 5, percent: int = 80, tile: int = TILE) -> tu
     blocks = stored(shared.join(members.select("doc_id", "class_id"), "doc_id").select("shingle", "class_id").distinct(), "blocks")
     first = blocks.groupBy("shingle").agg(F.min("class_id").alias("a"), F.max("class_id").alias("z")).where("a <> z")
     stars = stored(blocks.join(first, "shingle").select("a", F.col("class_id").alias("b")).where("a <> b").distinct(), "stars")
-    links = stored(verify(docs, stars, k, percent), "links")
+    links = stored(verify(docs, stored(bounded(stars, points, percent), "survivors"), k, percent).distinct(), "links")
     placed = stored(components(links), "components")
 
     def component(rows: DataFrame) -> DataFrame:
@@ -284,7 +287,7 @@ def join(docs: DataFrame, k: int = 5, percent: int = 80, tile: int = TILE) -> tu
         rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.ceil(F.col("m") / tile).cast("int") - 1)))
         rows = rows.select("shingle", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "class_id", "component", "n", "tile", "point")
         found = rows.repartition("shingle", "i", "j").sortWithinPartitions("shingle", "i", "j").mapInArrow(_search(percent), "a long, b long").distinct()
-        more = stored(verify(docs, stored(found.join(stars, ["a", "b"], "left_anti"), "survivors"), k, percent), "links")
+        more = stored(verify(docs, stored(found.join(stars, ["a", "b"], "left_anti"), "survivors"), k, percent).distinct(), "links")
         links = links.unionByName(more)
         placed = stored(components(links), "components")
     out = component(members).select("doc_id", F.col("n").alias("n_shingles"), "class_id", F.col("component").alias("component_id"))
