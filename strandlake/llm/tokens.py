@@ -3,7 +3,9 @@
 Both public vocabularies cut a text before every white-space character that follows a character of
 another kind, whatever stands around it.  A text's ids are therefore the ids of its units - a run of
 ASCII white space and the run of other characters after it - one after another, and a unit's ids can be
-kept; a full stop or comma after a letter is cut off likewise.  Texts with other white space, where a run could go on across a unit's end, are encoded whole.
+kept.  A unit that isn't known yet and is a plain word (perhaps after one space or line end, perhaps
+before a full stop or comma) goes to the library's BPE model straight away; all other units, and texts
+with other white space, where a run could go on across a unit's end, go through its whole pipeline.  (A mark after such a word is a unit of its own where a blank follows.)
 The memo is bounded by a number of units and is emptied when full, which changes no result.
 """
 
@@ -13,51 +15,93 @@ import os
 import re
 from array import array
 
-_UNITS = re.compile(r"[ \t-\r]*[^ \t-\r]+|[ \t-\r]+").findall
+_LETTER = "[A-Za-zÀ-ÖØ-öø-ÿ]"
+#: A plain word before a blank, perhaps with a mark between; else white space and what follows it.
+_UNITS = re.compile(f"[ \n]?{_LETTER}+(?=[.,]?[ \n])|[ \t-\r]*[^ \t-\r]+|[ \t-\r]+").findall
 _OTHER_SPACE = re.compile(r"[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]").search
+#: Latin-1 letters: one code point each in every normal form, letters to both vocabularies' patterns.
+_WORD = re.compile(f"([ \n]?)({_LETTER}+)([.,]?)").fullmatch
 _LONGEST = 64  # code points of a unit worth keeping
 
 
+def _byte_letters() -> dict[int, str]:
+    """The printable stand-in of each byte in byte-level vocabularies: itself, else the next code point from 256."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+_LETTERS = _byte_letters()
+_PROBES = ["a", "The", " the", "\nThe", " internationalization", " Straße.", "été,", " ÀÉÎ", "\nthought,", " s", " t", "ye", " zzzqxj"]
+
+
+class _Units(dict):
+    """The ids of units, looked up or made."""
+
+    def __init__(self, make):
+        self.make = make
+
+    def __missing__(self, unit: str) -> bytes:
+        ids = self.make(unit)
+        if len(unit) <= _LONGEST:
+            self[unit] = ids
+        return ids
+
+
 class Encoder:
     """encode(texts) -> for each text its ids as little-endian unsigned 32-bit integers, in bytes."""
 
-    def __init__(self, vocabulary: str, most_units: int = 1_000_000):
+    def __init__(self, vocabulary: str, most_units: int = 400_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks share the cores already
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
         self.tokenizer.encode_special_tokens = True
         self.most = most_units
-        self.known: dict[str, bytes] = {}
+        self.known = _Units(self._make)
+        self.model = self.tokenizer.model
+        self.marks = {x: self._whole([x])[0] for x in ("", "\n", ".", ",")}
+        whole = self._whole(_PROBES)
+        fits = [f for f in (self._spaced, self._lowered) if [self._quick(f, x) for x in _PROBES] == whole]
+        self.form = fits[0] if fits else None
+
+    def _make(self, unit: str) -> bytes:
+        ids = self._quick(self.form, unit) if self.form and len(unit) <= _LONGEST else None
+        return array("I", self.tokenizer.encode(unit, add_special_tokens=False).ids).tobytes() if ids is None else ids
+
+    @staticmethod
+    def _spaced(space: str, word: str) -> str:
+        return "Ġ" + word if space == " " else word
+
+    @staticmethod
+    def _lowered(space: str, word: str) -> str:
+        return word
+
+    def _quick(self, form, unit: str) -> bytes | None:
+        """The ids of a plain word, or None where the unit is something else."""
+        m = _WORD(unit)
+        if m is None:
+            return None
+        space, word, mark = m.groups()
+        if form == self._lowered:
+            word = word.lower()
+        if not word.isascii():
+            word = word.encode().decode("latin-1").translate(_LETTERS)
+        ids = array("I", [t.id for t in self.model.tokenize(form(space, word))]).tobytes()
+        if space == "\n":
+            ids = self.marks["\n"] + ids
+        return ids + self.marks[mark] if mark else ids
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        units = [None if _OTHER_SPACE(t) else _UNITS(t) for t in texts]
-        if len(self.known) > self.most:
-            self.known.clear()
-        new: set[str] = set()
-        for u in units:
-            if u is not None:
-                new.update(u)
-        new = new.difference(self.known) if len(new) < len(self.known) else {u for u in new if u not in self.known}
-        extra: dict[str, bytes] = {}
-        ends = [u for u in new if len(u) > 1 and u[-1] in ".," and u[-2].isalpha()]
-        bare = {u[:-1] for u in ends}
-        bare.update((".", ","))
-        missing = [u for u in new.difference(ends) | bare if u not in self.known] if new else []
-        for at in range(0, len(missing), 20_000):
-            part = missing[at : at + 20_000]
-            for unit, ids in zip(part, self._whole(part), strict=True):
-                (self.known if len(unit) <= _LONGEST else extra)[unit] = ids
-        for u in ends:
-            base = u[:-1]
-            ids = (self.known[base] if len(base) <= _LONGEST else extra[base]) + self.known[u[-1]]
-            (self.known if len(u) <= _LONGEST else extra)[u] = ids
-        look = self.known.__getitem__ if not extra else lambda u: extra[u] if len(u) > _LONGEST else self.known[u]
-        rest = iter(self._whole([t for t, u in zip(texts, units, strict=True) if u is None]))
-        return [next(rest) if u is None else b"".join(map(look, u)) for u in units]
+        look, out = self.known.__getitem__, []
+        for text in texts:
+            out.append(self._whole([text])[0] if _OTHER_SPACE(text) else b"".join(map(look, _UNITS(text))))
+            if len(self.known) > self.most:
+                self.known.clear()
+        return out
 
 
 _encoders: dict[str, Encoder] = {}
