@@ -12,19 +12,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandlake.llm import line_templates, ngram_join, packing, quality_rules, string_tiling
-from strandlake.llm.common import read_table, stored
+from strandlake.llm.common import read_table, stored, unused
 from strandlake.llm.queries import vocabulary
 
 #: Up to so many leaked documents (8 MB of ids) are broadcast; more are joined by a shuffle.
 MOST_BROADCAST = 1_000_000
 
 
-def unused(docs: DataFrame, name: str) -> str:
-    while name in docs.columns:
-        name += "_"
-    return name
-
-
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules reject go."""
     name = unused(docs, "rules")
@@ -45,17 +39,19 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document with the smallest doc_id stays."""
     groups = ngram_join.near_duplicates(docs)
-    first = groups.where("doc_id = component_id").select(F.col("doc_id").alias("first")).distinct()
-    here = docs.join(first, F.col("doc_id").cast("long") == F.col("first"), "left_semi")
+    name = unused(docs, "first")
+    first = groups.where("doc_id = component_id").select(F.col("doc_id").alias(name)).distinct()
+    here = docs.join(first, F.col("doc_id").cast("long") == F.col(name), "left_semi")
     return here.dropDuplicates(["doc_id"])
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
     found = string_tiling.leaks(docs, read_table(spark, sf_dir, "benchmark"))
-    leaked = stored(found.select(F.col("doc_id").alias("leaked")).distinct(), "leaked")
+    name = unused(docs, "leaked")
+    leaked = stored(found.select(F.col("doc_id").alias(name)).distinct(), "leaked")
     leaked = F.broadcast(leaked) if leaked.count() <= MOST_BROADCAST else leaked
-    return docs.join(leaked, F.col("doc_id").cast("long") == F.col("leaked"), "left_anti")
+    return docs.join(leaked, F.col("doc_id").cast("long") == F.col(name), "left_anti")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -55,3 +55,11 @@ def arrow_schema(df_schema) -> pa.Schema:
 def text_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes | None]:
     """A string column as UTF-8 bytes, without decoding."""
     return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """`name`, with as many underscores as it takes to be no column of df."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, stored, text_bytes
+from .common import arrow_schema, stored, text_bytes, unused
 
 LEAST = 5
 LONG = 12
@@ -71,8 +71,9 @@ def recurring(docs: DataFrame, least_documents: int = 2) -> DataFrame:
 def drop_recurring(docs: DataFrame, least_documents: int = 2) -> DataFrame:
     """docs with the recurring lines removed from text, n_lines (before) and n_dropped."""
     docs = docs.drop("n_lines", "n_dropped")
-    lost = recurring(docs, least_documents).groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_set("leaf").alias("_leaves"))
-    joined = docs.join(lost, F.col("doc_id").cast("long") == F.col("_doc"), "left").drop("_doc")
+    owner, found = unused(docs, "_doc"), unused(docs, "_leaves")
+    lost = recurring(docs, least_documents).groupBy(F.col("doc_id").alias(owner)).agg(F.collect_set("leaf").alias(found))
+    joined = docs.join(lost, F.col("doc_id").cast("long") == F.col(owner), "left").drop(owner)
     out = docs.withColumn("text", F.col("text").cast("string")).withColumn("n_lines", F.lit(0).cast("long")).withColumn("n_dropped", F.lit(0).cast("long")).schema
     names = [f.name for f in out]
     kinds = arrow_schema(out)
@@ -80,7 +81,7 @@ def drop_recurring(docs: DataFrame, least_documents: int = 2) -> DataFrame:
     def run(batches):
         for b in batches:
             texts, before, dropped = [], [], []
-            for text, gone in zip(text_bytes(b.column(b.schema.names.index("text"))), b.column(b.schema.names.index("_leaves")).to_pylist(), strict=True):
+            for text, gone in zip(text_bytes(b.column(b.schema.names.index("text"))), b.column(b.schema.names.index(found)).to_pylist(), strict=True):
                 lines = [] if text is None else text.split(b"\n")
                 held = set(gone or ())
                 kept = [x for x in lines if not held.intersection(leaves(x))] if held else lines
