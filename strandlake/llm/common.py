@@ -12,6 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 #: The ASCII white space that separates words everywhere in this subpackage.
 SPACES = " \t\n\x0b\x0c\r"
 
+#: Catalyst estimates plans of unknown size at more than this.
+UNKNOWN_BYTES = 1 << 60
+
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -23,8 +26,14 @@ def input_bytes(df: DataFrame) -> int:
 
 
 def partitions_for(df: DataFrame, bytes_each: int, least: int = 1) -> int:
-    """How many partitions of about `bytes_each` input bytes; grows with the input."""
-    return max(least, math.ceil(min(input_bytes(df), 1 << 60) / bytes_each))
+    """How many partitions of about `bytes_each` input bytes; grows with the input.
+
+    Plans without an estimate (local rows, not files) get the session's number of shuffle partitions.
+    """
+    size = input_bytes(df)
+    if size >= UNKNOWN_BYTES:
+        return max(least, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
+    return max(least, math.ceil(size / bytes_each))
 
 
 def shared_path(spark: SparkSession, name: str) -> str:

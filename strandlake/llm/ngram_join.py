@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import input_bytes, stored, shared_path, text_bytes
+from .common import UNKNOWN_BYTES, input_bytes, shared_path, stored, text_bytes
 from .graph import components
 from .shingles import shingle_set
 
@@ -62,8 +62,9 @@ def _cells(shingles: np.ndarray, cells: int) -> np.ndarray:
 
 
 def sketch_cells(docs: DataFrame) -> int:
-    """A power of two that follows the input up to 4 million (16 MB)."""
-    return 1 << min(22, max(14, math.ceil(math.log2(max(1, input_bytes(docs) / 512)))))
+    """A power of two that follows the input's bytes up to 4 million (16 MB)."""
+    size = input_bytes(docs)
+    return 1 << min(22, max(14, math.ceil(math.log2(max(1, size / 512))))) if size < UNKNOWN_BYTES else 1 << 18
 
 
 def describe(docs: DataFrame, k: int, cells: int) -> tuple[DataFrame, np.ndarray]:
