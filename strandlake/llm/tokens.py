@@ -1,12 +1,13 @@
-"""Tokenization by the tokenizers library, with a memo of white-space-delimited units.
-
-Both public vocabularies cut a text before every white-space character that follows a character of
-another kind, whatever stands around it.  A text's ids are therefore the ids of its units - a run of
-ASCII white space and the run of other characters after it - one after another, and a unit's ids can be
-kept.  A unit that isn't known yet and is a plain word (perhaps after one space or line end, perhaps
-before a full stop or comma) goes to the library's BPE model straight away; all other units, and texts
-with other white space, where a run could go on across a unit's end, go through its whole pipeline.  (A mark after such a word is a unit of its own where a blank follows.)
-The memo is bounded by a number of units and is emptied when full, which changes no result.
+"""Tokenization by the tokenizers library, with a memo of words.
+
+Both public vocabularies cut a text before every white-space character that follows a character of another
+kind, and behind every run of letters that an ASCII character follows, whatever else stands around.  A
+text's ids are therefore the ids of its units, one after another, and a unit's ids can be kept.  A unit is
+a word of Latin-1 letters, perhaps with one space or line end before it, or else a run of ASCII white space
+and the run of other characters after it.  A word that isn't known yet goes to the library's BPE model
+straight away; all other units, and texts with other white space, where a run could go on across a unit's
+end, go through its whole pipeline.  The memo is bounded by a number of units and is emptied when full,
+which changes no result.
 """
 
 from __future__ import annotations
@@ -15,12 +16,12 @@ import os
 import re
 from array import array
 
-_LETTER = "[A-Za-zÀ-ÖØ-öø-ÿ]"
-#: A plain word before a blank, perhaps with a mark between; else white space and what follows it.
-_UNITS = re.compile(f"[ \n]?{_LETTER}+(?=[.,]?[ \n])|[ \t-\r]*[^ \t-\r]+|[ \t-\r]+").findall
-_OTHER_SPACE = re.compile(r"[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]").search
 #: Latin-1 letters: one code point each in every normal form, letters to both vocabularies' patterns.
-_WORD = re.compile(f"([ \n]?)({_LETTER}+)([.,]?)").fullmatch
+_LETTER = "[A-Za-zÀ-ÖØ-öø-ÿ]"
+_UNITS = re.compile(f"[ \n]?{_LETTER}++(?![^\x00-\x7f])|[ \t-\r]*[^ \t-\r]+|[ \t-\r]+").findall
+_PLAIN = re.compile(f"{_LETTER}+").fullmatch
+#: White space beyond ASCII's, and what comes close to it.
+_OTHER_SPACE = [chr(c) for c in (*range(0x1C, 0x20), 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x200C), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF)]
 _LONGEST = 64  # code points of a unit worth keeping
 
 
@@ -32,7 +33,7 @@ def _byte_letters() -> dict[int, str]:
 
 
 _LETTERS = _byte_letters()
-_PROBES = ["a", "The", " the", "\nThe", " internationalization", " Straße.", "été,", " ÀÉÎ", "\nthought,", " s", " t", "ye", " zzzqxj"]
+_PROBES = ["a", "The", " the", "\nThe", " internationalization", " Straße", "été", " ÀÉÎ", "\nthought", " s", " t", "ye", " zzzqxj"]
 
 
 class _Units(dict):
@@ -51,7 +52,7 @@ class _Units(dict):
 class Encoder:
     """encode(texts) -> for each text its ids as little-endian unsigned 32-bit integers, in bytes."""
 
-    def __init__(self, vocabulary: str, most_units: int = 400_000):
+    def __init__(self, vocabulary: str, most_units: int = 800_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks share the cores already
         from tokenizers import Tokenizer
 
@@ -60,37 +61,38 @@ class Encoder:
         self.most = most_units
         self.known = _Units(self._make)
         self.model = self.tokenizer.model
-        self.marks = {x: self._whole([x])[0] for x in ("", "\n", ".", ",")}
+        self.line = self._whole(["\n"])[0]
         whole = self._whole(_PROBES)
-        fits = [f for f in (self._spaced, self._lowered) if [self._quick(f, x) for x in _PROBES] == whole]
-        self.form = fits[0] if fits else None
+        self.form = next((f for f in (self._spaced, self._lowered) if [f(x) for x in _PROBES] == whole), None)
 
     def _make(self, unit: str) -> bytes:
-        ids = self._quick(self.form, unit) if self.form and len(unit) <= _LONGEST else None
-        return array("I", self.tokenizer.encode(unit, add_special_tokens=False).ids).tobytes() if ids is None else ids
-
-    @staticmethod
-    def _spaced(space: str, word: str) -> str:
-        return "Ġ" + word if space == " " else word
-
-    @staticmethod
-    def _lowered(space: str, word: str) -> str:
-        return word
-
-    def _quick(self, form, unit: str) -> bytes | None:
-        """The ids of a plain word, or None where the unit is something else."""
-        m = _WORD(unit)
-        if m is None:
-            return None
-        space, word, mark = m.groups()
-        if form == self._lowered:
-            word = word.lower()
+        form = self.form
+        ids = form(unit) if form is not None and len(unit) <= _LONGEST else None
+        return self._whole([unit])[0] if ids is None else ids
+
+    def _spaced(self, unit: str) -> bytes | None:
+        """The ids of a word where a space before it is part of it and case counts; None for all else."""
+        first = unit[0]
+        word = unit[1:] if first in " \n" else unit
         if not word.isascii():
+            if _PLAIN(word) is None:
+                return None
             word = word.encode().decode("latin-1").translate(_LETTERS)
-        ids = array("I", [t.id for t in self.model.tokenize(form(space, word))]).tobytes()
-        if space == "\n":
-            ids = self.marks["\n"] + ids
-        return ids + self.marks[mark] if mark else ids
+        elif not word.isalpha():
+            return None
+        ids = array("I", [t.id for t in self.model.tokenize("Ġ" + word if first == " " else word)]).tobytes()
+        return self.line + ids if first == "\n" else ids
+
+    def _lowered(self, unit: str) -> bytes | None:
+        """The same where case and the space before a word don't count."""
+        word = unit[1:] if unit[0] in " \n" else unit
+        if not word.isascii():
+            if _PLAIN(word) is None:
+                return None
+            word = word.lower().encode().decode("latin-1").translate(_LETTERS)
+        elif not word.isalpha():
+            return None
+        return array("I", [t.id for t in self.model.tokenize(word.lower() if word.isascii() else word)]).tobytes()
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -98,7 +100,8 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         look, out = self.known.__getitem__, []
         for text in texts:
-            out.append(self._whole([text])[0] if _OTHER_SPACE(text) else b"".join(map(look, _UNITS(text))))
+            other = any(c in text for c in _OTHER_SPACE)
+            out.append(self._whole([text])[0] if other else b"".join(map(look, _UNITS(text))))
             if len(self.known) > self.most:
                 self.known.clear()
         return out
