@@ -60,7 +60,7 @@ def stats(df: DataFrame, quality: bool = True, format: Column | str | None = Non
     )
     half = F.col("tb") * 0.5
     reached = (F.col("tb") > 0) & (F.col("cb") >= half)
-    needed = F.least(F.greatest(F.ceil((half - (F.col("cb") - bases)) / F.col("len")), F.lit(1)), F.col("cnt"))
+    needed = F.least(F.greatest(F.ceil((half - (F.col("cb") - bases)) / F.greatest("len", F.lit(1))), F.lit(1)), F.col("cnt"))
 
     def rank(p: float) -> Column:
         return F.min(F.when(F.col("seen") > F.round(F.lit(p) * (F.col("n") - 1)), F.col("len")))
