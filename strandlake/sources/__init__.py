@@ -184,14 +184,22 @@ def _numbered(rows: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(starts), ["file", "block"]).withColumn("ord", F.col("before") + F.col("at") - F.col("first"))
 
 
-def _located(df: DataFrame) -> DataFrame:
-    return df.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value")
+def _lines(df: DataFrame) -> DataFrame:
+    return df.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value")
 
 
 def read_fasta_text(spark: SparkSession, paths) -> DataFrame:
-    """FASTA records by Spark's text reader: plain files are split, gzip files are read whole."""
-    rows = _located(spark.read.option("lineSep", "\n>").text(paths)).where(~F.col("value").rlike("\\A[\\r\\n]*\\z"))
-    rows = _numbered(rows).withColumn("value", F.when(F.col("ord") == 0, F.regexp_replace("value", "\\A[\\r\\n]*", "")).otherwise(F.concat(F.lit(">"), F.col("value"))))
+    """FASTA records by Spark's text reader: plain files are split, gzip files are read whole.
+
+    What stands before a file's first > is a piece of its own, and is nothing if it is blank.  Unlike
+    read_fastx, this reader can't see a record of a single > that ends a file without a line end.
+    """
+    rows = _numbered(_lines(spark.read.option("lineSep", "\n>").text(paths)).withColumn("at", F.monotonically_increasing_id()))
+    blank = (F.col("ord") == 0) & F.col("value").rlike("\\A[\\r\\n]*\\z")
+    starts = rows.where(blank).select("file", F.lit(1).alias("lead")).distinct()
+    rows = rows.where(~blank).join(F.broadcast(starts), "file", "left").withColumn("lead", F.coalesce("lead", F.lit(0)))
+    whole = F.when(F.col("ord") == 0, F.regexp_replace("value", "\\A[\\r\\n]*", "")).otherwise(F.concat(F.lit(">"), F.col("value")))
+    rows = rows.withColumn("value", whole).withColumn("ord", F.col("ord") - F.col("lead"))
     bad = F.concat(F.lit("a record begins with "), F.substring("value", 1, 20))
     rows = rows.where(F.when(F.col("value").startswith(">"), F.lit(True)).otherwise(F.raise_error(bad).cast("boolean")))
     head = F.regexp_replace(F.regexp_extract("value", "\\A>([^\\n]*)", 1), "\\r+\\z", "")
@@ -209,8 +217,8 @@ def header_desc(header: Column) -> Column:
 
 def read_sam(spark: SparkSession, paths) -> DataFrame:
     """Alignments of SAM files by Spark's text reader: id, seq and qual; * stands for nothing."""
-    rows = _located(spark.read.text(paths)).withColumn("value", F.regexp_replace("value", "\\r\\z", "")).where("value <> '' and not startswith(value, '@')")
-    rows = rows.withColumn("f", F.split("value", "\t"))
+    rows = _lines(spark.read.text(paths)).withColumn("value", F.regexp_replace("value", "\\r\\z", "")).where("value <> '' and not startswith(value, '@')")
+    rows = rows.withColumn("at", F.monotonically_increasing_id()).withColumn("f", F.split("value", "\t"))
     seq = F.when(F.get("f", F.lit(9)) == "*", "").otherwise(F.get("f", F.lit(9)))
     qual = F.when(F.get("f", F.lit(10)) != "*", F.get("f", F.lit(10)))
     short = F.concat(F.lit("an alignment of fewer than 11 fields: "), F.substring("value", 1, 40))
