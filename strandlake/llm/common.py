@@ -8,6 +8,7 @@ import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: The ASCII white space that separates words everywhere in this subpackage.
 SPACES = " \t\n\x0b\x0c\r"
@@ -17,9 +18,21 @@ UNKNOWN_BYTES = 1 << 60
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the driver's, with Arrow batches that suit texts."""
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Texts can be long: hand them to Python a thousand at a time, where the session keeps Spark's ten thousand.
+
+    That bounds the buffers on both sides of the pipe, for each task that runs Python.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, "1000")
+
+
 def input_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of a plan; for a plain scan, the bytes of its files."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
@@ -72,3 +85,16 @@ def unused(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+def hashed_sample(df: DataFrame, key: str, most: int) -> DataFrame:
+    """The `most` rows of the least hashes of `key`.
+
+    Where there are many more rows, only the share of hashes that holds some four times `most` is ranked, so
+    what tasks send on is bounded by `most` and not by their number.
+    """
+    order = F.xxhash64(key)
+    rows = df.count()
+    if rows > 8 * most:
+        df = df.where(F.pmod(order, F.lit(1 << 30)) < int((1 << 30) * 4 * most / rows))
+    return df.orderBy(F.pmod(order, F.lit(1 << 30)), key).limit(most)

@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import hashed_sample
 from .tokens import sized_batches
 
 KINDS = ("email", "ip", "card", "phone")
@@ -246,12 +247,13 @@ class Network:
         self._back(x, "b", keep_b, dboth[:, :, size:], grad)
         return (z.sum() - gold) / total, grad
 
-    def fit(self, x, y, m, epochs: int = 5, batch: int = 48, rate: float = 0.01, seed: int = 5) -> list[float]:
+    def fit(self, x, y, m, epochs: int = 14, batch: int = 48, rate: float = 0.02, seed: int = 5) -> list[float]:
         rng = np.random.default_rng(seed)
         first = {k: np.zeros_like(v) for k, v in self.p.items()}
         second = {k: np.zeros_like(v) for k, v in self.p.items()}
         step, losses = 0, []
-        for _ in range(epochs):
+        for epoch in range(epochs):
+            pace = rate * (1 - epoch / epochs)
             for rows in np.array_split(rng.permutation(len(x)), max(1, len(x) // batch)):
                 value, grad = self.loss(x[rows], y[rows], m[rows])
                 losses.append(float(value))
@@ -260,7 +262,7 @@ class Network:
                     g = np.clip(g, -1, 1)
                     first[k] = 0.9 * first[k] + 0.1 * g
                     second[k] = 0.99 * second[k] + 0.01 * g * g
-                    self.p[k] = (self.p[k] - rate * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
+                    self.p[k] = (self.p[k] - pace * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
         return losses
 
     def viterbi(self, e: np.ndarray) -> np.ndarray:
@@ -379,8 +381,8 @@ def examples(texts: list[str], written: int = 900, seed: int = 11):
 
 def train(docs: DataFrame, most_texts: int = 400, longest: int = 20_000, written: int = 900, seed: int = 3) -> Network:
     """Fit on at most `most_texts` texts of at most `longest` code points that hold a digit or @, chosen by a hash."""
-    rows = docs.select(F.col("doc_id").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.col("text").rlike("@|\\+[0-9]|[0-9]{10}")).where(F.length("text") <= longest)
-    texts = [r.text for r in rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_texts).select("text").collect()]
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.col("text").rlike("@|\\+[0-9]|[0-9]{10}")).where(F.length("text") <= longest)
+    texts = [r.text for r in hashed_sample(rows, "doc_id", most_texts).select("text").collect()]
     net = Network.fresh(seed=seed)
     x, y, m = examples(texts, written)
     if len(x):

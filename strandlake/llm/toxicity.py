@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_bytes
+from .common import hashed_sample, text_bytes
 
 STRIP = b".,;:!?()[]{}\"'#*$%&|<>_-"
 
@@ -108,9 +108,8 @@ def sample(docs: DataFrame, labels: DataFrame, most_positive: int = 6000, most_u
     `most_words` (one text in many thousands) are left out of training; they are scored like all others.
     """
     known = labels.select("doc_id", "toxic").where(F.col("doc_id").isNotNull()).where(~held_out(F.col("doc_id")))
-    order = (F.xxhash64(F.col("doc_id")), F.col("doc_id"))
-    positive = known.where("toxic = 1").select("doc_id").distinct().orderBy(*order).limit(most_positive)
-    drawn = known.select("doc_id").distinct().orderBy(*order).limit(most_unlabelled)
+    positive = hashed_sample(known.where("toxic = 1").select("doc_id").distinct(), "doc_id", most_positive)
+    drawn = hashed_sample(known.select("doc_id").distinct(), "doc_id", most_unlabelled)
     picked = positive.withColumn("positive", F.lit(1)).unionByName(drawn.withColumn("positive", F.lit(0)))
 
     def run(batches):
