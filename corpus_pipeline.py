@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandlake.llm import line_templates, ngram_join, packing, quality_rules, string_tiling
-from strandlake.llm.common import read_table, stored, unused
+from strandlake.llm.common import read_table, small_batches, stored, unused
 from strandlake.llm.queries import vocabulary
 
 #: Up to so many leaked documents (8 MB of ids) are broadcast; more are joined by a shuffle.
@@ -27,6 +27,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Recurring lines go from all documents but the first; documents of which nothing is left go too."""
+    small_batches(spark)
     names = docs.columns
     kept = {n: unused(docs, n + "_kept") for n in ("n_lines", "n_dropped") if n in names}
     out = line_templates.drop_recurring(docs.withColumnsRenamed(kept))
@@ -38,6 +39,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document with the smallest doc_id stays."""
+    small_batches(spark)
     groups = ngram_join.near_duplicates(docs)
     name = unused(docs, "first")
     first = groups.where("doc_id = component_id").select(F.col("doc_id").alias(name)).distinct()
@@ -47,6 +49,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
+    small_batches(spark)
     found = string_tiling.leaks(docs, read_table(spark, sf_dir, "benchmark"))
     name = unused(docs, "leaked")
     leaked = stored(found.select(F.col("doc_id").alias(name)).distinct(), "leaked")
@@ -56,6 +59,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id and offset of each piece."""
+    small_batches(spark)
     pieces = packing.pack(docs, vocabulary("byte_bpe_50k.json"), window=1024, end_id=0)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 

@@ -6,7 +6,7 @@ text's ids are therefore the ids of its units, one after another, and a unit's i
 a word of Latin-1 letters, perhaps with one space or line end before it, or else a run of ASCII white space
 and the run of other characters after it.  A word that isn't known yet goes to the library's BPE model
 straight away; all other units, and texts with other white space, where a run could go on across a unit's
-end, go through its whole pipeline.  The memo is bounded by a number of units and is emptied when full,
+end, go through its whole pipeline.  The memo keeps at most two generations of a bounded number of units,
 which changes no result.
 """
 
@@ -37,22 +37,28 @@ _PROBES = ["a", "The", " the", "\nThe", " internationalization", " Straße", "é
 
 
 class _Units(dict):
-    """The ids of units, looked up or made."""
+    """The ids of units, looked up or made; what wasn't used since the turn before last is forgotten."""
 
     def __init__(self, make):
-        self.make = make
+        self.make, self.old = make, {}
 
     def __missing__(self, unit: str) -> bytes:
-        ids = self.make(unit)
+        ids = self.old.get(unit)
+        if ids is None:
+            ids = self.make(unit)
         if len(unit) <= _LONGEST:
             self[unit] = ids
         return ids
 
+    def turn(self) -> None:
+        self.old = dict(self)
+        self.clear()
+
 
 class Encoder:
     """encode(texts) -> for each text its ids as little-endian unsigned 32-bit integers, in bytes."""
 
-    def __init__(self, vocabulary: str, most_units: int = 800_000):
+    def __init__(self, vocabulary: str, most_units: int = 350_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks share the cores already
         from tokenizers import Tokenizer
 
@@ -103,7 +109,7 @@ class Encoder:
             other = any(c in text for c in _OTHER_SPACE)
             out.append(self._whole([text])[0] if other else b"".join(map(look, _UNITS(text))))
             if len(self.known) > self.most:
-                self.known.clear()
+                self.known.turn()
         return out
 
 
