@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import functions as X
+from .. import sources
 from ..model import half_mates, letters, reads, turn_mates, with_position
 from ..operators import duplicates, order, pairs, records, rename, sampling, search, stats
 from . import adapters_sql as A
@@ -424,7 +425,53 @@ def head_pair_invalid(spark, sf_dir):
     return pair_digest(order.head_zipped(pairs.zip_mates(*turn_mates(spark, sf_dir)), 5, allow_unpaired=True))
 
 
-# Streams: the operators that keep no order, over a folder of files.
+# Sources and sinks: the reads written as files of each kind, and read back.
+
+_FIELDS = f'SELECT id, "desc", {DIGEST} FROM {R}'
+_BARE = f'SELECT id, "desc", md5(seq) AS seq_md5, NULL::VARCHAR AS qual_md5 FROM {R}'
+
+
+def fields(df: DataFrame) -> DataFrame:
+    return digest(df, "id", "desc").drop("ord")
+
+
+@query(_BARE)
+def fasta_scan(spark, sf_dir):
+    path = sources.scratch(spark, "fasta")
+    sources.write_fastx(reads(spark, sf_dir), path, "fasta")
+    return fields(sources.read_fasta_text(spark, path))
+
+
+@query(_BARE)
+def fasta_xz_scan(spark, sf_dir):
+    path = sources.scratch(spark, "fasta-xz")
+    sources.write_fastx(reads(spark, sf_dir), path, "fasta", "xz")
+    return fields(sources.read_fastx(spark, path, "fasta"))
+
+
+@query(_FIELDS)
+def fastq_scan(spark, sf_dir):
+    path = sources.scratch(spark, "fastq")
+    sources.write_fastx(reads(spark, sf_dir), path, "fastq")
+    return fields(sources.read_fastx(spark, path, "fastq"))
+
+
+@query(_FIELDS)
+def fastq_gz_scan(spark, sf_dir):
+    path = sources.scratch(spark, "fastq-gz")
+    sources.write_fastx(reads(spark, sf_dir), path, "fastq", "gz")
+    return fields(sources.read_fastx(spark, path, "fastq"))
+
+
+@query(f"SELECT id, md5(seq) AS seq_md5, md5(CASE WHEN qual <> '*' THEN qual END) AS qual_md5 FROM {R} WHERE seq <> ''")
+def sam_scan(spark, sf_dir):
+    path = sources.scratch(spark, "sam")
+    line = F.concat_ws("\t", "id", *(F.lit(x) for x in "4 * 0 0 * * 0 0".split()), "seq", "qual")
+    reads(spark, sf_dir).where("seq <> ''").select(line.alias("value")).write.text(path)
+    return fields(sources.read_sam(spark, path)).drop("desc")
+
+
+# A filter and a sort in one plan.
 
 
 @query(f"SELECT row_number() OVER (ORDER BY id, ord) - 1 AS ord, id FROM {R} WHERE length(seq) >= 1000")

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import glob
 import os
+import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -26,9 +27,23 @@ _ARROW = pa.schema([("file", pa.string()), ("ord", pa.int64()), ("id", pa.string
 _BATCH_BYTES = 4 << 20
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh path in the session's shared folder; where none is set, in a folder made for this session."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        base = tempfile.mkdtemp(prefix="strandlake-")
+        spark.sparkContext.setCheckpointDir(base)
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def local(path: str) -> str:
+    """A mounted path without its scheme."""
+    return "/" + path.removeprefix("file:").lstrip("/") if path.startswith("file:") else path
+
+
 def expand(paths: str | list[str]) -> list[str]:
     found: list[str] = []
-    for p in [paths] if isinstance(paths, str) else paths:
+    for p in map(local, [paths] if isinstance(paths, str) else paths):
         more = sorted(glob.glob(f"{p}/*") if os.path.isdir(p) else glob.glob(p))
         found += [x for x in more if os.path.isfile(x) and not os.path.basename(x).startswith(("_", "."))] or [p]
     return found
@@ -109,7 +124,7 @@ class _Writer(DataSourceWriter):
     """One file for each partition; files get their names when the whole job is done."""
 
     def __init__(self, options: dict, overwrite: bool):
-        self.path, self.format, self.codec = options["path"], options.get("format", "fasta"), options.get("compression", "none")
+        self.path, self.format, self.codec = local(options["path"]), options.get("format", "fasta"), options.get("compression", "none")
         self.run, self.overwrite = uuid.uuid4().hex[:8], overwrite
 
     def write(self, rows):
