@@ -50,37 +50,54 @@ def expand(paths: str | list[str]) -> list[str]:
 
 
 class _File(InputPartition):
-    def __init__(self, path: str):
-        self.path = path
+    """A file, or the records that begin in a range of its bytes."""
+
+    def __init__(self, path: str, start: int = 0, stop: int | None = None):
+        self.path, self.start, self.stop = path, start, stop
+
+
+def _ranges(path: str, options: dict) -> list[_File]:
+    size = int(options.get("splitbytes", "0"))
+    if not size or codec_of(path, options.get("compression", "auto")) != "none" or not os.path.isfile(path):
+        return [_File(path)]
+    if detect(path, options.get("format", "auto"), "none") not in ("fasta", "fastq"):
+        return [_File(path)]
+    total = os.path.getsize(path)
+    return [_File(path, at, min(total, at + size)) for at in range(0, max(total, 1), size)]
 
 
-def _batches(path: str, options: dict) -> Iterator[pa.RecordBatch]:
+def _batches(part: _File, options: dict) -> Iterator[pa.RecordBatch]:
     wanted = set(options.get("columns", "id,desc,seq,qual").split(","))
     most = int(options.get("maxrecords", "0"))
     flag = lambda name: options.get(name, "false").lower() == "true"
-    records = parsing.parse(path, options.get("format", "auto"), options.get("compression", "auto"), flag("rawheader"), flag("strict"), not flag("alignments"))
+    path, kind = part.path, options.get("format", "auto")
+    if part.stop is None:
+        records = enumerate(parsing.parse(path, kind, options.get("compression", "auto"), flag("rawheader"), flag("strict"), not flag("alignments")))
+    else:
+        records = parsing.parse_range(path, detect(path, kind, "none"), part.start, part.stop, flag("rawheader"))
     keep = [n in wanted for n in ("id", "desc", "seq", "qual")]
     columns: list[list] = [[], [], [], []]
-    size = ord_ = 0
+    places: list[int] = []
+    size = n = 0
 
     def flush():
-        n = len(columns[0])
-        out = pa.RecordBatch.from_arrays([pa.array([path] * n, pa.string()), pa.array(range(ord_ - n, ord_), pa.int64()), *(pa.array(c, pa.string()) for c in columns)], schema=_ARROW)
-        for c in columns:
+        out = pa.RecordBatch.from_arrays([pa.array([path] * len(places), pa.string()), pa.array(places, pa.int64()), *(pa.array(c, pa.string()) for c in columns)], schema=_ARROW)
+        for c in (places, *columns):
             c.clear()
         return out
 
-    for record in records:
-        if most and ord_ >= most:
+    for place, record in records:
+        if most and n >= most:
             break
+        places.append(place)
         for c, value, use in zip(columns, record, keep, strict=True):
             c.append(value if use else None)
         size += len(record[2])
-        ord_ += 1
-        if size >= _BATCH_BYTES or len(columns[0]) >= 10_000:
+        n += 1
+        if size >= _BATCH_BYTES or len(places) >= 10_000:
             yield flush()
             size = 0
-    if columns[0]:
+    if places:
         yield flush()
 
 
@@ -89,10 +106,10 @@ class _Reader(DataSourceReader):
         self.options = dict(options)
 
     def partitions(self):
-        return [_File(p) for p in expand(self.options["path"].split("\n"))]
+        return [part for p in expand(self.options["path"].split("\n")) for part in _ranges(p, self.options)]
 
     def read(self, partition):
-        yield from _batches(partition.path, self.options)
+        yield from _batches(partition, self.options)
 
 
 class _StreamReader(DataSourceStreamReader):
@@ -112,7 +129,7 @@ class _StreamReader(DataSourceStreamReader):
         return [_File(f) for f in expand(self.options["path"]) if os.path.isfile(f) and start["after"] < f <= end["after"]]
 
     def read(self, partition):
-        yield from _batches(partition.path, self.options)
+        yield from _batches(partition, self.options)
 
 
 class _Part(WriterCommitMessage):
@@ -154,7 +171,7 @@ class _Writer(DataSourceWriter):
 
 
 class FastxSource(DataSource):
-    """format("fastx"): options path (several, one a line), format, compression, rawHeader, strict, columns, maxRecords, alignments."""
+    """format("fastx"): options path (several, one a line), format, compression, rawHeader, strict, columns, maxRecords, alignments, splitBytes."""
 
     @classmethod
     def name(cls):
@@ -177,14 +194,17 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(FastxSource)
 
 
-def read_fastx(spark: SparkSession, paths, format: str = "auto", compression: str = "auto", raw_header: bool = False, strict: bool = False, columns=("id", "desc", "seq", "qual"), max_records: int = 0, alignments: bool = False) -> DataFrame:
+def read_fastx(spark: SparkSession, paths, format: str = "auto", compression: str = "auto", raw_header: bool = False, strict: bool = False, columns=("id", "desc", "seq", "qual"), max_records: int = 0, alignments: bool = False, split_bytes: int = 0) -> DataFrame:
     """Records of FASTA and FASTQ files (and SAM, BAM with `alignments`); columns that aren't wanted are null.
 
-    Every file's format and codec are settled one by one, so they may be mixed.
+    Every file's format and codec are settled one by one, so they may be mixed.  A file is one partition, and
+    ordinals count its records.  With `split_bytes`, plain FASTA files and plain FASTQ files of four lines a
+    record are cut into partitions of so many bytes; ordinals are then the records' places in bytes, in order
+    but with gaps (model.renumber closes them).
     """
     register(spark)
     paths = [paths] if isinstance(paths, str) else list(paths)
-    options = {"path": "\n".join(paths), "format": format, "compression": compression, "rawHeader": str(raw_header).lower(), "strict": str(strict).lower(), "columns": ",".join(columns), "maxRecords": str(max_records), "alignments": str(alignments).lower()}
+    options = {"path": "\n".join(paths), "format": format, "compression": compression, "rawHeader": str(raw_header).lower(), "strict": str(strict).lower(), "columns": ",".join(columns), "maxRecords": str(max_records), "alignments": str(alignments).lower(), "splitBytes": str(split_bytes)}
     return spark.read.format("fastx").options(**options).load()
 
 

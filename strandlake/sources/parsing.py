@@ -146,6 +146,80 @@ def parse_fastq(lines: Iterable[bytes], raw: bool = False, where: str = "input",
         yield *_header(head, raw), seq.decode("latin-1"), b"".join(held).decode("latin-1")
 
 
+def _line_starts(f: io.BufferedIOBase, start: int) -> Iterator[tuple[int, bytes]]:
+    """(offset, line) of the lines that begin at or behind an offset."""
+    f.seek(max(0, start - 1))
+    at = start
+    if start:
+        at += len(f.readline()) - 1
+    for line in f:
+        yield at, line.rstrip(b"\r\n")
+        at += len(line)
+
+
+def parse_fasta_range(f: io.BufferedIOBase, start: int, stop: int, raw: bool = False, where: str = "input") -> Iterator[tuple[int, Fields]]:
+    """(offset, record) of the records that begin in [start, stop), whatever their ends."""
+    head, head_at = None, 0
+    parts: list[bytes] = []
+    for at, line in _line_starts(f, start):
+        if line[:1] == b">":
+            if head is not None:
+                yield head_at, (*_header(head, raw), b"".join(parts).decode("latin-1"), None)
+            if at >= stop:
+                return
+            head, head_at, parts = line, at, []
+        elif head is not None:
+            parts.append(line)
+        elif line and not start:
+            raise SequenceError(f"{where}: a record begins with {line[:20]!r}")
+    if head is not None:
+        yield head_at, (*_header(head, raw), b"".join(parts).decode("latin-1"), None)
+
+
+def parse_fastq_range(f: io.BufferedIOBase, start: int, stop: int, raw: bool = False, where: str = "input") -> Iterator[tuple[int, Fields]]:
+    """The same for records of four lines each.
+
+    A record begins at a line with @ of which the next but one begins with +.  A quality line with @ can't be
+    taken for it, since the next but one is then a sequence.
+    """
+    lines = _line_starts(f, start)
+    held: list[tuple[int, bytes]] = []
+    if start:
+        for item in lines:
+            held.append(item)
+            if len(held) >= 3 and held[-3][1][:1] == b"@" and item[1][:1] == b"+":
+                held = held[-3:]
+                break
+            if held[0][0] >= stop:
+                return
+            held = held[-2:]
+        else:
+            return
+    while True:
+        while len(held) < 4:
+            item = next(lines, None)
+            if item is None:
+                if held and any(x for _, x in held):
+                    raise SequenceError(f"{where}: the file ends inside a record, or records aren't on four lines")
+                return
+            if held or item[1]:
+                held.append(item)
+        (at, head), (_, seq), (_, plus), (_, qual) = held
+        if at >= stop:
+            return
+        if head[:1] != b"@" or plus[:1] != b"+":
+            raise SequenceError(f"{where}: records have to be on four lines to be read in ranges ({head[:20]!r})")
+        if len(seq) != len(qual):
+            raise SequenceError(f"{where}: sequence of {len(seq)} and quality of {len(qual)} characters in {head[:80]!r}")
+        yield at, (*_header(head, raw), seq.decode("latin-1"), qual.decode("latin-1"))
+        held = []
+
+
+def parse_range(path: str, kind: str, start: int, stop: int, raw: bool = False) -> Iterator[tuple[int, Fields]]:
+    with open(path, "rb", buffering=1 << 20) as f:
+        yield from (parse_fasta_range if kind == "fasta" else parse_fastq_range)(f, start, stop, raw, path)
+
+
 def parse_sam(lines: Iterable[bytes], where: str = "input") -> Iterator[Fields]:
     for line in lines:
         line = line.rstrip(b"\r\n")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from strandlake import cli, sources
 from strandlake.functions import jvm_replacement
-from strandlake.model import RECORD
+from strandlake.model import RECORD, renumber
 from strandlake.sources import parsing
 
 A_FA = ">r1\nACGT\n>r2\nGGNN\n>r3\nTTAA\n"
@@ -153,6 +153,28 @@ def test_fasta_by_the_text_reader(spark, files, tmp_path):
         sources.read_fasta_text(spark, str(tmp_path / "bad.fa")).count()
 
 
+def test_files_read_in_ranges(spark, tmp_path):
+    """Any cut gives the same records, also where quality lines begin with @ or +."""
+    records = [(f"r{i}", f"d{i}" if i % 3 else None, "ACGT" * (i % 5) + "N" * (i % 2), ("@+I!"[i % 4] + "@+" * 10)[: 4 * (i % 5) + i % 2]) for i in range(60)]
+    fq = "".join(f"@{i}{' ' + d if d else ''}\n{s}\n+{i if len(s) % 2 else ''}\n{q}\n" for i, d, s, q in records)
+    fa = "".join(f">{i}{' ' + d if d else ''}\n{s[:3]}\n\n{s[3:]}\n" for i, d, s, q in records)
+    for name, text, want in (("x.fq", fq, records), ("y.fq", fq.replace("\n", "\r\n"), records), ("x.fa", "\n" + fa, [(*r[:3], None) for r in records])):
+        path = tmp_path / name
+        path.write_bytes(text.encode())
+        size = len(text.encode())
+        for step in (1, 7, 50, 333, size, 10 * size) if name == "x.fq" else (50,):
+            got = [x for at in range(0, size, step) for x in parsing.parse_range(str(path), "fastq" if "fq" in name else "fasta", at, min(size, at + step))]
+            assert [r for _, r in got] == want, (name, step)
+            assert [a for a, _ in got] == sorted({a for a, _ in got})
+        df = sources.read_fastx(spark, str(path), split_bytes=100)
+        assert df.rdd.getNumPartitions() > 5
+        assert [r[1:] for r in rows(df)] == want
+        assert [r[0] for r in rows(renumber(df))] == list(range(60))
+    (tmp_path / "w.fq").write_text("@a\nAC\nGT\n+\nII\nII\n")
+    with pytest.raises(Exception, match="four lines"):
+        sources.read_fastx(spark, str(tmp_path / "w.fq"), split_bytes=1000).count()
+
+
 @pytest.mark.parametrize("codec", ["none", "gz", "xz"])
 @pytest.mark.parametrize("format", ["fasta", "fastq"])
 def test_written_folders_read_back(spark, tmp_path, codec, format):
