@@ -56,12 +56,13 @@ def train(positive: list[set[bytes]], unlabelled: list[set[bytes]], prior: float
         return np.concatenate(found) if found else np.zeros(0, np.int64), np.array([len(x) for x in found])
 
     (pw, pn), (uw, un) = rows(positive), rows(unlabelled)
-    # Words are scaled by how much more often they occur among the positives: the few that tell learn fast.
+    # Only words that are clearly more frequent among the positives are evidence, scaled by how much: the few
+    # that tell learn fast, and the many words of a long text can't outweigh them.
     pd = np.bincount(pw, minlength=len(vocabulary)) + 0.5
     ud = np.bincount(uw, minlength=len(vocabulary)) + 0.5
     lift = np.log(pd / (len(positive) + 1)) - np.log(ud / (len(unlabelled) + 1))
     deviation = np.abs(pd / len(positive) - ud / len(unlabelled)) / np.sqrt(ud / len(unlabelled) / len(positive) + 1e-12)
-    scale = np.where(deviation >= 4, np.minimum(np.abs(lift), 4), 0.0)
+    scale = np.where((deviation >= 4) & (lift > 0), np.minimum(np.abs(lift), 4), 0.0)
     rng = np.random.default_rng(seed)
     theta, bias = np.zeros(len(vocabulary)), -1.0
     m = v = np.zeros(len(vocabulary) + 1)
