@@ -12,7 +12,7 @@ document or id can be read alone.  Segments travel as rows of a Parquet table, b
 makes that atomic and a task that is lost is simply written again; `export` writes them as files.
 
 Documents with a null text have only the end id.  Rows that share a doc_id are all kept, in an order
-given by their text.  Extra columns are ignored; an empty table gives an empty result.
+given by their text; rows without a doc_id are left out.  Extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations

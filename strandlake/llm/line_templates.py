@@ -13,7 +13,7 @@ dropped from all others.  The depth is fixed, so each line has at most three lea
 ever compared with each other: leaves are counted by an aggregate with map-side combine.
 
 Lines of fewer than LEAST tokens, and empty lines, have no leaf and stay.  A null text has no lines and
-stays null.  Rows that repeat a doc_id count as one document.  Extra columns pass through; columns named
+stays null.  Rows that repeat a doc_id count as one document; rows without one keep their text.  Extra columns pass through; columns named
 n_lines or n_dropped are replaced.
 """
 

@@ -26,7 +26,8 @@ Steps (each only moves what is left):
 No link between different components is lost; links within one component need not all be listed.
 
 Null and empty texts have no shingles and are linked with nothing.  Rows that repeat a doc_id each get a
-row, and are one node: it is linked with whatever any of its texts is linked with.  Extra columns are ignored.
+row, and are one node: it is linked with whatever any of its texts is linked with.  Rows without a
+doc_id are left out.  Extra columns are ignored.
 """
 
 from __future__ import annotations

@@ -12,7 +12,8 @@
 So every window but a shard's last is full.  A shard holds at most SHARD_IDS ids (a document that is longer
 is one shard): memory is bounded, and no shard depends on another.
 
-A null text is empty and has only the end id.  Rows that repeat a doc_id are packed one by one.  Extra
+A null text is empty and has only the end id.  Rows that repeat a doc_id are packed one by one, rows without
+one are left out.  Extra
 columns are ignored; an empty table gives no pieces.
 """
 

@@ -2,7 +2,7 @@
 
 `features` and `verdict` are ordinary Column expressions, so the whole operator is one narrow
 projection over the scan: no shuffle, no Python, any partitioning.  Results are defined for every
-input: a null or empty text has no words and fails; extra columns pass through `annotate` untouched,
+input: a null or empty text has no words and fails; rows that repeat a doc_id are judged one by one; extra columns pass through `annotate` untouched,
 since all names the operator adds are given by the caller or fixed and replaced.
 """
 

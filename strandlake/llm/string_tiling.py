@@ -10,7 +10,7 @@ or more has leaked.
 The benchmark is the query set: it is taken in blocks of BLOCK_BYTES of text, each of which is sent to all
 tasks, and every block sees the whole corpus.  Documents are never shuffled.
 
-Null and empty texts have no seeds.  Items of fewer than `least` words are seeds as a whole; items without
+Null and empty texts have no seeds, neither of documents nor of items.  Items of fewer than `least` words are seeds as a whole; items without
 words leak nowhere.  Rows that repeat a doc_id or an item_id give rows of their own.  Extra columns are
 ignored.
 """
