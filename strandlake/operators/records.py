@@ -49,8 +49,9 @@ def seq(
     high = max_qual if max_qual is not None and max_qual >= 0 else None
     if low is not None or high is not None:
         needs_quality(df, "a quality filter")
-        mean = X.mean_quality(with_quality(F.col("qual"), "a quality filter"), qual_base)
-        df = df.where(mean.between(F.lit(low if low is not None else -1e300), F.lit(high if high is not None else 1e300)))
+        mean = X.mean_quality(F.col("qual"), qual_base)
+        fits = [mean >= low] * (low is not None) + [mean <= high] * (high is not None)
+        df = df.where(fits[0] if len(fits) == 1 else fits[0] & fits[1])
     s = F.col("seq")
     turned = rev or revcomp
     if revcomp or comp:

@@ -23,41 +23,28 @@ def _long(c: Column) -> Column:
 def stats(df: DataFrame, quality: bool = True, format: Column | str | None = None, raw_quality: bool = False) -> DataFrame:
     """Figures by file over records(file, seq, qual).
 
-    Two aggregates, both combined before the shuffle: sums by file, and a histogram of lengths by file, over
-    which windows find N50, L50 and the quartiles.  Only histograms are ever sorted.
+    One pass over the records: an aggregate by file and length, combined before the shuffle, which leaves a
+    row for each length that occurs.  Windows over these rows find N50, L50 and the quartiles, and a second
+    aggregate adds up the rest, so records are neither sorted nor read twice.
 
     Quartiles are nearest ranks, round(p (n - 1)) from 0, without interpolation.  GC and N are percentages of
     all characters.  Quality percentages are null without qualities.  `format` defaults to fastq where there
     are qualities and fasta elsewhere.
     """
-    alpha = X.count_of(F.col("seq"), X.LOWER + X.UPPER)
-    sums = {
-        "records": F.count("*"),
-        "total_bases": F.sum(F.length("seq")),
-        "min_len": F.min(F.length("seq")),
-        "max_len": F.max(F.length("seq")),
-        "_gc": F.sum(X.count_of(F.col("seq"), "GCgc")),
-        "_n": F.sum(X.count_of(F.col("seq"), "Nn")),
-        "_alpha": F.sum(alpha),
-        "_nuc": F.sum(X.count_of(F.col("seq"), "ACGTUNacgtun")),
-        "_u": F.sum(X.count_of(F.col("seq"), "Uu")),
-        "_t": F.sum(X.count_of(F.col("seq"), "Tt")),
-        "_fastq": F.max(F.col("qual").isNotNull()),
-        "_quals": F.sum(F.length("qual")),
-    }
+    counts = {"_gc": "GCgc", "_n": "Nn", "_alpha": X.LOWER + X.UPPER, "_nuc": "ACGTUNacgtun", "_u": "Uu", "_t": "Tt"}
+    sums = {name: F.sum(X.count_of(F.col("seq"), letters)) for name, letters in counts.items()} | {"_quals": F.sum(F.length("qual"))}
     if quality:
         sums |= {f"_q{q}": F.sum(X.at_least(F.col("qual"), q)) for q in QUALITIES}
-    each = df.groupBy("file").agg(*(c.alias(n) for n, c in sums.items()))
+    hist = df.groupBy("file", F.length("seq").alias("len")).agg(F.count("*").alias("cnt"), F.max(F.col("qual").isNotNull()).alias("_fastq"), *(c.alias(n) for n, c in sums.items()))
 
-    hist = df.groupBy("file", F.length("seq").alias("len")).agg(F.count("*").alias("cnt"))
     own = Window.partitionBy("file")
     up = own.orderBy("len").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     down = own.orderBy(F.desc("len")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     bases = F.col("len") * F.col("cnt")
-    run = hist.select(
-        "file", "len", "cnt", F.sum(bases).over(down).alias("cb"), F.sum("cnt").over(down).alias("cr"), F.sum(bases).over(own).alias("tb"),
-        F.sum("cnt").over(up).alias("seen"), F.sum("cnt").over(own).alias("n"),
-    )
+    run = hist.withColumns({
+        "cb": F.sum(bases).over(down), "cr": F.sum("cnt").over(down), "tb": F.sum(bases).over(own),
+        "seen": F.sum("cnt").over(up), "n": F.sum("cnt").over(own),
+    })
     half = F.col("tb") * 0.5
     reached = (F.col("tb") > 0) & (F.col("cb") >= half)
     needed = F.least(F.greatest(F.ceil((half - (F.col("cb") - bases)) / F.greatest("len", F.lit(1))), F.lit(1)), F.col("cnt"))
@@ -65,12 +52,13 @@ def stats(df: DataFrame, quality: bool = True, format: Column | str | None = Non
     def rank(p: float) -> Column:
         return F.min(F.when(F.col("seen") > F.round(F.lit(p) * (F.col("n") - 1)), F.col("len")))
 
-    shape = run.groupBy("file").agg(
-        F.max_by(F.when(reached, F.col("len")), F.when(reached, F.col("len"))).alias("n50"),
+    both = run.groupBy("file").agg(
+        F.sum("cnt").alias("records"), F.sum(bases).alias("total_bases"), F.min("len").alias("min_len"), F.max("len").alias("max_len"),
+        F.max("_fastq").alias("_fastq"), *(F.sum(n).alias(n) for n in sums),
+        F.max(F.when(reached, F.col("len"))).alias("n50"),
         F.max_by(F.col("cr") - F.col("cnt") + needed, F.when(reached, F.col("len"))).alias("l50"),
         rank(0.25).alias("q1_len"), rank(0.5).alias("median_len"), rank(0.75).alias("q3_len"),
     )
-    both = each.join(shape, "file")
     total, other = F.col("total_bases"), F.col("_alpha") - F.col("_nuc")
     kind = (
         F.when(F.coalesce("_alpha", F.lit(0)) == 0, "NA")
