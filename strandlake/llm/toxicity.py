@@ -16,6 +16,7 @@ by one.
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Collection
 from dataclasses import dataclass
 
 import numpy as np
@@ -43,7 +44,7 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
-def train(positive: list[set[bytes]], unlabelled: list[set[bytes]], prior: float = 0.13, least_df: int = 5, most_features: int = 1 << 16, epochs: int = 60, rate: float = 0.05, decay: float = 1e-3, seed: int = 7) -> Model:
+def train(positive: list[Collection[bytes]], unlabelled: list[Collection[bytes]], prior: float = 0.13, least_df: int = 5, most_features: int = 1 << 16, epochs: int = 60, rate: float = 0.05, decay: float = 1e-3, seed: int = 7) -> Model:
     """Minimise the non-negative PU risk of the sigmoid loss by Adam, in mini-batches."""
     if not positive or not unlabelled:
         return Model({}, -30.0)
@@ -103,7 +104,7 @@ def held_out(doc_id: Column) -> Column:
 
 
 def sample(docs: DataFrame, labels: DataFrame, most_positive: int = 6000, most_unlabelled: int = 12_000, most_words: int = 1 << 12):
-    """Word sets of the training rows: confirmed toxic ones, and labelled rows of which the label isn't read.
+    """Distinct words of the training rows: confirmed toxic ones, and labelled rows of which the label isn't read.
 
     The chosen ids are bounded by the two parameters, so they may be broadcast.  Word sets longer than
     `most_words` (one text in many thousands) are left out of training; they are scored like all others.
@@ -119,9 +120,9 @@ def sample(docs: DataFrame, labels: DataFrame, most_positive: int = 6000, most_u
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x if x.count(b"\n") < most_words else None for x in found], pa.binary())], names=["positive", "words"])
 
     rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("positive", "text").mapInArrow(run, "positive int, words binary")
-    positives, others = [], []
+    positives, others, known_words = [], [], {}  # a word is one object, however many texts hold it
     for r in rows.where("words is not null").orderBy("positive", F.xxhash64("words")).toLocalIterator():
-        (positives if r.positive else others).append(set(bytes(r.words).split(b"\n")) - {b""})
+        (positives if r.positive else others).append([known_words.setdefault(w, w) for w in bytes(r.words).split(b"\n") if w])
     return positives, others
 
 
