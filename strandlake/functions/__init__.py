@@ -14,7 +14,9 @@ LOWER = "abcdefghijklmnopqrstuvwxyz"
 UPPER = LOWER.upper()
 #: The letters that a nucleotide sequence may hold.
 IUPAC = "ACGTURYSWKMBDHVN"
+#: Gap letters, and the complements of letters (U as T, all in capitals).
 GAPS = "- \t."
+BASES, COMPLEMENTS = "ACGTUNacgtun", "TGCAANTGCAAN"
 
 
 def ascii_upper(c: Column) -> Column:
@@ -27,7 +29,7 @@ def ascii_lower(c: Column) -> Column:
 
 def complement(seq: Column) -> Column:
     """A-T, C-G, U as A; the result is in capitals for these letters and N, all else stays."""
-    return F.translate(seq, "ACGTUNacgtun", "TGCAANTGCAAN")
+    return F.translate(seq, BASES, COMPLEMENTS)
 
 
 def reverse_complement(seq: Column) -> Column:
@@ -121,6 +123,7 @@ def numeric_key(c: Column) -> Column:
     return F.when(fits, padded)
 
 
+#: ANSI colours of letters; all others are 37.
 COLOURS = {"A": 32, "C": 34, "G": 33, "T": 31, "U": 31}
 
 

@@ -12,7 +12,7 @@ COLUMNS = (
     "q1_len", "median_len", "q3_len", "n_pct", "q10_pct", "q20_pct", "q30_pct",
 )
 QUALITIES = (10, 20, 30)
-#: Letters that aren't nucleotides make a protein if they are more than this share of all letters.
+#: Fixed value: letters that aren't nucleotides make a protein if they are more than this share of all letters.
 PROTEIN_SHARE = 0.05
 
 
