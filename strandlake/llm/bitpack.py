@@ -133,8 +133,9 @@ def write_segments(docs: DataFrame, vocabulary: str, vocabulary_size: int, end_i
         if doc_ids:
             yield flush()
 
+    parts = partitions_for(docs, bytes_each)  # of the table as it is stored: an estimate by columns knows no long texts
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
-    ranged = docs.repartitionByRange(partitions_for(docs, bytes_each), "doc_id").sortWithinPartitions("doc_id", "text")
+    ranged = docs.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
     return stored(ranged.mapInArrow(run, SEGMENT), "segments")
 
 

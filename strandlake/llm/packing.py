@@ -154,7 +154,7 @@ def tokenize(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
 def pack(docs: DataFrame, vocabulary: str, window: int = 1024, end_id: int = 0, bytes_each: int = 16 << 20) -> DataFrame:
     """Pieces of all documents: doc_id, start, length, doc_tokens, sequence_id, offset and ids (u32 bytes)."""
     tokens = tokenize(docs, vocabulary, end_id)
-    parts = partitions_for(docs.select("doc_id", "text"), bytes_each)
+    parts = partitions_for(docs, bytes_each)  # of the table as it is stored: an estimate by columns knows no long texts
 
     def run(batches):
         part, shard = TaskContext.get().partitionId(), 0
