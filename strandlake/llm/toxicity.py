@@ -4,7 +4,8 @@ A linear classifier over the distinct words of a text is trained from texts conf
 texts whose label is not used at all.  With p the share of toxic texts among all (the class prior), the
 risk on the negatives is estimated as the unlabelled risk less p times the positives' risk as negatives;
 where that estimate falls below zero, the step goes the other way (non-negative correction), which keeps
-the classifier from fitting the unlabelled texts by heart.
+the classifier from fitting the unlabelled texts by heart.  The prior is the input's own: the share of
+toxic texts among all labelled rows that are not held out (`prior`).
 
 Training uses a bounded sample of the labelled rows (`most_positive`, `most_unlabelled`, chosen by a hash
 of doc_id): what reaches the driver doesn't grow with the input.  Scoring is one narrow pass over whole
@@ -103,6 +104,17 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1
 
 
+def prior(labels: DataFrame) -> float:
+    """The share of toxic texts among all labelled rows that are not held out.
+
+    An id counts once, as toxic if any of its rows is; ids of which no row says either are left out.  Without
+    any other id the share is 0.
+    """
+    known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).where(~held_out(F.col("doc_id")))
+    each = known.groupBy("doc_id").agg(F.max(F.when(F.col("toxic") == 1, 1).otherwise(0)).alias("toxic"))
+    return each.agg(F.avg("toxic")).first()[0] or 0.0
+
+
 def sample(docs: DataFrame, labels: DataFrame, most_positive: int = 6000, most_unlabelled: int = 12_000, most_words: int = 1 << 12):
     """Distinct words of the training rows: confirmed toxic ones, and labelled rows of which the label isn't read.
 

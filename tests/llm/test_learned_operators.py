@@ -67,6 +67,37 @@ def test_risk_correction_keeps_the_prior():
     assert model.score(b"so bad") > 0.7 > 0.3 > model.score(b"so good")
 
 
+@pytest.mark.parametrize("share", [0.02, 0.13, 0.4])
+def test_toxicity_at_other_shares(spark, tmp_path, share):
+    """op1 takes the class prior from the labels, so a table rich in toxic texts keeps its recall."""
+    from strandlake.llm.queries import QUERIES
+
+    rng = random.Random(17)
+    texts, labels = [], []
+    for i in range(6000):
+        words = [f"w{int(rng.paretovariate(0.7)) % 3000}" for _ in range(rng.randrange(20, 120))]
+        toxic = rng.random() < share
+        for _ in range(3 if toxic else 0):
+            words.insert(rng.randrange(len(words)), rng.choice(["vile", "rotten", "filthy", "nasty"]))
+        texts.append((i, " ".join(words)))
+        labels.append((i, int(toxic)))
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    table = spark.createDataFrame(labels, "doc_id long, toxic int")
+    table.write.parquet(f"{tmp_path}/labels.parquet")
+    rows = [(r.predicted, labels[r.doc_id][1]) for r in QUERIES["op1_toxicity"](spark, str(tmp_path)).where("held_out").collect()]
+    caught, wrong = [p for p, t in rows if t], [p for p, t in rows if not t]
+    assert sum(caught) >= 0.9 * len(caught) and sum(wrong) <= 0.02 * len(wrong)
+    trained = [t for i, t in labels if __import__("zlib").crc32(str(i).encode()) % 3 != 1]
+    assert toxicity.prior(table) == pytest.approx(sum(trained) / len(trained))
+
+
+def test_prior_counts_ids_once(spark):
+    ids = [i for i in range(40) if __import__("zlib").crc32(str(i).encode()) % 3 != 1][:4]
+    rows = [(ids[0], 1), (ids[0], 0), (ids[0], 0), (ids[1], 0), (ids[2], None), (ids[3], 0), (None, 1)]
+    assert toxicity.prior(spark.createDataFrame(rows, "doc_id long, toxic int")) == pytest.approx(1 / 3)
+    assert toxicity.prior(spark.createDataFrame([], "doc_id long, toxic int")) == 0
+
+
 # PII
 
 
