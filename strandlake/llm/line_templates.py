@@ -1,16 +1,17 @@
-"""Operator 8, line dedup: a log-template tree of fixed depth.
+"""Operator 8, line dedup: exact template keys, at most three a line.
 
-A line is parsed down a tree: by its number of tokens, then by its leading tokens, then by constant tokens.
-Tokens with a digit are variable fields and are generalised to <*> first.  The leaves of a line are
+Tokens with a digit are variable fields and are generalised to <*> first.  The keys (leaves) of a line, each
+with its exact number of tokens, are
 
     whole   all tokens, with <*> for variable fields
     left    the leading half; the other half is generalised          (lines of LONG tokens or more)
     right   the two leading tokens and the last half; what stands between is generalised
 
-so a line meets others that differ from it in some words of one half.  A leaf that lines of several
+so a line meets others of its length that differ from it in some words of one half.  Lines aren't compared
+by similarity: words without a digit are constants in lines of fewer than LONG tokens, and a passage shared
+with a line of another length, or in the middle of a line, isn't found.  A leaf that lines of several
 documents reach is a recurring template: its lines stay in the document with the smallest doc_id and are
-dropped from all others.  The depth is fixed, so each line has at most three leaves and no leaf's lines are
-ever compared with each other: leaves are counted by an aggregate with map-side combine.
+dropped from all others.  Leaves are counted by an aggregate with map-side combine.
 
 Lines of fewer than LEAST tokens, and empty lines, have no leaf and stay.  A null text has no lines and
 stays null.  Rows that repeat a doc_id count as one document; rows without one keep their text.  Extra columns pass through; columns named
