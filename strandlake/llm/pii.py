@@ -3,10 +3,13 @@
 The base are four patterns with checks (email, ip, card, phone).  The network is trained from labelled
 spans - base spans in a bounded sample of texts, and spans written in further formats into the same
 contexts - and adds spans that the patterns don't know: telephone numbers without a country code, card
-numbers of other lengths or with other separators, addresses with blanks around the @.
+numbers of other lengths or with other separators, addresses with blanks around the @ or with (at) or [at]
+for it.  Numbers without a country code are those of 3-3-4 digits, of five pairs with a leading 0
+(French), of nine digits in 3-3-3 or 3-2-2-2 from 6 on (Spanish), and of 9 to 11 digits in groups after an
+area code with a leading 0 (British, German).  Ungrouped ones, but for 3-3-4, and ip spans are never added.
 
-A text is read in clusters of digits and @ with some context.  What the network may add needs an @ or ten
-digits, so clusters with less can't gain a span and are not read; all others are cut into windows that
+A text is read in clusters of digits, @ and (at) with some context.  What the network may add needs one of
+these signs or nine digits, so clusters with less can't gain a span and are not read; all others are cut into windows that
 overlap by half, the windows' scores are averaged by their distance from the windows' ends, and one Viterbi
 pass over the whole cluster settles the labels.  An added span is kept if its kind's check holds and it
 touches no base span, so base spans always stay.
@@ -83,37 +86,43 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 # What the network may add.
 
-_ADDRESS = re.compile(r"[A-Za-z0-9._%+-]+ ?(?:@|\(at\)|\[at\]) ?[A-Za-z0-9-]+(?:(?:\.| ?\(dot\) ?)[A-Za-z0-9-]+)+").fullmatch
+_ADDRESS = re.compile(r"[A-Za-z0-9._%+-]+ ?(?:@|(?i:\(at\)|\[at\])) ?[A-Za-z0-9-]+(?:(?:\.| ?(?i:\(dot\)|\[dot\]) ?)[A-Za-z0-9-]+)+").fullmatch
 _NUMBER = re.compile(r"[(]?[0-9](?:[ ().\-/]*[0-9])+").fullmatch
 _NATIONAL = re.compile(r"\(?[0-9]{3}\)?[ .\-/]?[0-9]{3}[ .\-/][0-9]{4}").fullmatch
+_GROUPED = re.compile(
+    r"0[1-9](?:[ .\-][0-9]{2}){4}"
+    r"|[6-9][0-9]{2}(?:[ \-][0-9]{3}){2}|[6-9][0-9]{2}(?:[ \-][0-9]{2}){3}"
+    r"|(?:0[1-9][0-9]{1,3}(?: ?[\-/] ?| )|\(0[1-9][0-9]{1,3}\) ?)[0-9]{2,8}(?:[ \-][0-9]{2,6}){0,3}"
+).fullmatch
+_SIGNS = re.compile(r"([0-9]+)|@|(?i:\(at\)|\[at\])").finditer
 
 
 def plausible(kind: str, text: str) -> bool:
     """The check of an added span."""
     digits = _digits(text)
     if kind == "email":
-        return "@" in text and bool(_ADDRESS(text))
+        return bool(_ADDRESS(text))
     if kind == "card":
         return 13 <= len(digits) <= 19 and bool(_NUMBER(text)) and luhn(digits)
     if kind == "phone":
-        return len(digits) == 10 and bool(_NATIONAL(text))
+        return len(digits) == 10 and bool(_NATIONAL(text)) or 9 <= len(digits) <= 11 and bool(_GROUPED(text))
     return False
 
 
 def clusters(text: str):
-    """(start, end) around digits and @ that lie at most GAP apart, where a span could be added."""
+    """(start, end) around digits, @ and (at) that lie at most GAP apart, where a span could be added."""
     begin = end = None
     digits = signs = 0
-    for m in re.finditer(r"[0-9]+|@", text):
+    for m in _SIGNS(text):
         if begin is not None and m.start() - end > GAP:
-            if digits >= 10 or signs:
+            if digits >= 9 or signs:
                 yield max(0, begin - CONTEXT - STRIDE * bool(signs)), min(len(text), end + CONTEXT + STRIDE * bool(signs))
             begin, digits, signs = None, 0, 0
         begin = m.start() if begin is None else begin
         end = m.end()
-        digits += m[0] != "@" and len(m[0])
-        signs += m[0] == "@"
-    if begin is not None and (digits >= 10 or signs):
+        digits += len(m[1] or "")
+        signs += m[1] is None
+    if begin is not None and (digits >= 9 or signs):
         yield max(0, begin - CONTEXT - STRIDE * bool(signs)), min(len(text), end + CONTEXT + STRIDE * bool(signs))
 
 
@@ -327,7 +336,7 @@ def _written(rng) -> tuple[str, str]:
         digits = next(body + str(c) for c in range(10) if luhn(body + str(c)))
         return sep.join(digits[i : i + 4] for i in range(0, n, 4))
 
-    kind = rng.integers(0, 9)
+    kind = rng.integers(0, 12)
     if kind == 0:
         return "phone", f"({d(3)}) {d(3)}-{d(4)}"
     if kind == 1:
@@ -345,7 +354,17 @@ def _written(rng) -> tuple[str, str]:
         return "ip", ".".join(str(int(x)) for x in rng.integers(0, 256, 4))
     if kind == 7:
         return "O", ["{}-{}-{}".format(d(4), d(2), d(2)), f"{d(1)}.{d(2)}.{d(1)}", d(int(rng.integers(1, 8)))][rng.integers(0, 3)]
-    return "O", f"{d(3)},{d(3)},{d(3)}.{d(2)}"
+    if kind == 8:
+        return "O", f"{d(3)},{d(3)},{d(3)}.{d(2)}"
+    if kind == 9:
+        at, dot = [("(at)", "."), ("[at]", "."), ("(at)", "(dot)")][rng.integers(0, 3)]
+        gap = " " * int(rng.integers(0, 2))
+        return "email", f"{w()}.{w()}{gap}{at}{gap}{w()}{gap if dot != '.' else ''}{dot}{gap if dot != '.' else ''}{w()[:3]}"
+    n = lambda low: str(rng.integers(low, 10))
+    sep = "- "[rng.integers(0, 2)]
+    if kind == 10:
+        return "phone", [sep.join(("0" + n(1), d(2), d(2), d(2), d(2))), sep.join((n(6) + d(2), d(3), d(3))), sep.join((n(6) + d(2), d(2), d(2), d(2)))][rng.integers(0, 3)]
+    return "phone", [f"0{n(1)}{d(1)} {d(7)}", f"0{n(1)}{d(2)}{'/- '[rng.integers(0, 3)]}{d(6)}", f"02{d(1)} {d(4)} {d(4)}", f"0{n(1)}{d(2)} {d(3)} {d(4)}", f"0{n(1)}{d(3)} {d(6)}"][rng.integers(0, 5)]
 
 
 def examples(texts: list[str], written: int = 900, seed: int = 11):
@@ -393,8 +412,6 @@ def train(docs: DataFrame, most_texts: int = 400, longest: int = 20_000, written
 def find(text: str, net: Network) -> tuple[list, list]:
     """(base, all) spans of a text; all are in the order of kinds, then starts."""
     base = base_spans(text)
-    if not _ANY(text):
-        return base, base
     parts = list(clusters(text))
     if not parts:
         return base, base

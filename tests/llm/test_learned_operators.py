@@ -175,6 +175,24 @@ def test_network_learns_and_adds(filled):
     assert got[1003] == ([], [])
 
 
+def test_national_numbers_and_written_at(filled):
+    phones = ["01 23 45 67 89", "612 345 678", "912 34 56 78", "030 1234567", "0201/123456", "020 7946 0958", "0161 496 0000", "(030) 1234567", "07700 900123"]
+    addresses = ["joe.smith (at) mail.com", "joe.smith(at)mail.com", "joe.smith [at] mail.com", "joe.smith (at) mail (dot) com", "joe.smith @ mail.com"]
+    assert all(pii.plausible("phone", x) for x in phones) and all(pii.plausible("email", x) for x in addresses)
+    no = ["2024-05-06", "123456789", "123 456 789", "912.345.678", "1234 5678 90", "00 12 34 56 78", "012345678901", "12.05.2024 10"]
+    assert not any(pii.plausible("phone", x) for x in no) and not pii.plausible("email", "meet (at) noon")
+    assert list(pii.clusters("alpha beta joe.smith(at)mail.com")) and list(pii.clusters("tel 612 345 678")) and not list(pii.clusters("tel 612 345 67"))
+    net = pii.train(filled)
+    found = {}
+    for kind, some in (("phone", phones), ("email", addresses)):
+        for x in some:
+            text = f"alpha beta gamma {x} delta epsilon"
+            base, full = pii.find(text, net)
+            assert base == []
+            found[x] = [(k, text[a:b]) for k, a, b in full] == [(kind, x)]
+    assert sum(found.values()) >= 0.7 * len(found), found
+
+
 def test_long_clusters_decode_as_one(filled):
     """A cluster of many windows: spans don't overlap and lie in the text, whatever the windows' edges."""
     net = pii.train(filled)
