@@ -13,7 +13,9 @@ combined before the shuffle, so a payload that a third of all pages share adds o
 on digest are inner joins, whose large partitions Spark splits.
 
 A null html is an empty payload, a null url an empty target.  Rows that repeat a page_id are archived one
-by one; those that repeat the response's page_id and payload are responses too.  Extra columns are ignored.
+by one; those that repeat the response's page_id and payload are responses too.  A row without a page_id is
+a revisit that names no response, with the record id NONE; its payload is stored and checked like all others.
+Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,6 +33,7 @@ from .common import stored, text_bytes
 VERSION = "WARC/1.1"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORD_ID = "urn:page:"
+NONE = "none"
 END = b"\r\n\r\n"
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
@@ -50,11 +53,12 @@ def base32_of_hex(digest: Column) -> Column:
 def _head(kind: str, refers: Column | None) -> Column:
     """Everything before the payload: the record's header, and the HTTP header that begins its block."""
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("size").cast("string"), F.lit("\r\n\r\n"))
-    block = F.length(http) + (F.col("size") if refers is None else F.lit(0))
+    block = F.length(http) + (F.col("size") if kind == "response" else F.lit(0))
     url = F.regexp_replace(F.coalesce(F.col("url"), F.lit("")), "[\\r\\n]", "")
-    more = [] if refers is None else [F.lit(f"WARC-Profile: {PROFILE}\r\nWARC-Refers-To: <{RECORD_ID}"), refers.cast("string"), F.lit(">\r\n")]
+    more = [] if kind == "response" else [F.lit(f"WARC-Profile: {PROFILE}\r\n")]
+    more += [] if refers is None else [F.lit(f"WARC-Refers-To: <{RECORD_ID}"), refers.cast("string"), F.lit(">\r\n")]
     return F.concat(
-        F.lit(f"{VERSION}\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <{RECORD_ID}"), F.col("page_id").cast("string"),
+        F.lit(f"{VERSION}\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <{RECORD_ID}"), F.coalesce(F.col("page_id").cast("string"), F.lit(NONE)),
         F.lit(">\r\nWARC-Date: 1970-01-01T00:00:00Z\r\nWARC-Target-URI: "), url, F.lit("\r\n"), *more,
         F.lit("WARC-Payload-Digest: sha1:"), F.col("sha1"), F.lit("\r\nContent-Type: application/http; msgtype=response\r\nContent-Length: "),
         block.cast("string"), F.lit("\r\n\r\n"), http,
@@ -91,7 +95,7 @@ def write_archive(pages: DataFrame, least_bytes: int = 0) -> Archive:
     known = known.select("page_id", "url", F.length("payload").cast("long").alias("size"), F.unhex(F.sha2("payload", 256)).alias("digest"), base32_of_hex(F.sha1("payload")).alias("sha1"))
     first = known.groupBy("digest").agg(F.min("page_id").alias("first"))
     revisit = (F.col("size") >= least_bytes) & (F.col("page_id") != F.col("first"))
-    headers = known.join(first, "digest").select("page_id", "digest", F.when(revisit, _head("revisit", F.col("first"))).otherwise(_head("response", None)).cast("binary").alias("head"))
+    headers = known.join(first, "digest").select("page_id", "digest", F.when(F.col("page_id").isNull(), _head("revisit", None)).when(revisit, _head("revisit", F.col("first"))).otherwise(_head("response", None)).cast("binary").alias("head"))
     held = pages.select("html").mapInArrow(_payloads, "digest binary, bytes binary, size long").dropDuplicates(["digest"])
     return Archive(stored(held, "payloads"), stored(headers, "headers"))
 
@@ -128,27 +132,35 @@ def _rebuild(batches):
         )
 
 
-def read_responses(archive: Archive) -> DataFrame:
-    """page_id, digest, payload and record (the exact bytes of the original record) of each response."""
+def _read(archive: Archive, which: str) -> DataFrame:
+    """Records with their payloads; those of revisits aren't part of their blocks."""
     heads = archive.headers.select("page_id", "digest", "head", _field("WARC-Type").alias("kind"), F.regexp_replace(_field("WARC-Payload-Digest"), "^sha1:", "").alias("sha1"), _field("Content-Length").cast("long").alias("length"))
-    joined = heads.where("kind = 'response'").drop("kind").join(archive.payloads, "digest")
+    joined = heads.where(which).join(archive.payloads, "digest")
+    joined = joined.withColumn("length", F.col("length") + F.when(F.col("kind") == "revisit", F.col("size")).otherwise(0)).drop("kind")
     return joined.mapInArrow(_rebuild, "page_id long, digest binary, payload binary, record binary")
 
 
+def read_responses(archive: Archive) -> DataFrame:
+    """page_id, digest, payload and record (the exact bytes of the original record) of each response."""
+    return _read(archive, "kind = 'response'")
+
+
 def read_revisits(archive: Archive) -> DataFrame:
     """page_id, digest, refers_to and record of each revisit."""
     heads = archive.headers.where(_field("WARC-Type") == "revisit")
-    return heads.select("page_id", "digest", _page("WARC-Refers-To").cast("long").alias("refers_to"), F.concat(F.col("head"), F.lit(END.decode()).cast("binary")).alias("record"))
+    return heads.select("page_id", "digest", F.nullif(_page("WARC-Refers-To"), F.lit("")).cast("long").alias("refers_to"), F.concat(F.col("head"), F.lit(END.decode()).cast("binary")).alias("record"))
 
 
 def read_archive(archive: Archive) -> DataFrame:
     """page_id, record_type, refers_to, payload_bytes and payload_digest of every record.
 
-    The payloads' figures are taken from the payloads that were rebuilt; revisits get them from their response.
+    The payloads' figures are taken from the payloads that were rebuilt; revisits get them from their response,
+    or, where they name none, from the payload of their digest.
     """
     figures = (F.length("payload").cast("long").alias("payload_bytes"), base32_of_hex(F.sha1("payload")).alias("payload_digest"))
-    whole = stored(read_responses(archive).select("page_id", "digest", *figures), "responses")
-    responses = whole.select("page_id", F.lit("response").alias("record_type"), F.lit(None).cast("long").alias("refers_to"), "payload_bytes", "payload_digest")
-    targets = whole.select(F.col("page_id").alias("refers_to"), "digest", "payload_bytes", "payload_digest").dropDuplicates(["refers_to", "digest"])
+    whole = stored(_read(archive, "kind = 'response' or page_id is null").select("page_id", "digest", *figures), "responses")
+    kind = F.when(F.col("page_id").isNull(), "revisit").otherwise("response")
+    rebuilt = whole.select("page_id", kind.alias("record_type"), F.lit(None).cast("long").alias("refers_to"), "payload_bytes", "payload_digest")
+    targets = whole.where("page_id is not null").select(F.col("page_id").alias("refers_to"), "digest", "payload_bytes", "payload_digest").dropDuplicates(["refers_to", "digest"])
     revisits = read_revisits(archive).join(targets, ["refers_to", "digest"])
-    return responses.unionByName(revisits.select("page_id", F.lit("revisit").alias("record_type"), "refers_to", "payload_bytes", "payload_digest"))
+    return rebuilt.unionByName(revisits.select("page_id", F.lit("revisit").alias("record_type"), "refers_to", "payload_bytes", "payload_digest"))

@@ -30,6 +30,17 @@ def test_query_matches_its_sql(spark, duck, name):
     assert sorted((tuple(r[c] for c in columns) for r in got.collect()), key=repr) == sorted(want, key=repr)
 
 
+def test_pages_without_an_id_match_the_sql(spark, duck, tmp_path):
+    rows = [(3, "u", "a"), (1, "u", "a"), (None, "u", "a"), (None, "v", "only without"), (None, None, "only without"), (None, "u", None), (7, "u", "b")]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = QUERIES["op6_warc"](spark, str(tmp_path))
+    columns = sorted(got.columns)
+    sql = ORACLES["op6_warc"].replace("FROM pages", f"FROM '{tmp_path}/pages.parquet/*.parquet'")
+    want = duck.sql(f"SELECT {', '.join(columns)} FROM ({sql})").fetchall()
+    assert len(want) == len(rows)
+    assert sorted((tuple(r[c] for c in columns) for r in got.collect()), key=repr) == sorted(want, key=repr)
+
+
 COLUMNS = {
     "op1_toxicity": ["doc_id", "held_out", "score", "predicted"],
     "op2_string_tiling": ["doc_id", "item_id", "n_tiles", "covered_words", "item_words"],
