@@ -4,6 +4,12 @@ Each stage takes (spark, docs, sf_dir), works on all that the stage before kept,
 with the columns of docs (the last: pieces of packed sequences).  Null and empty texts fail the quality
 rules, so they go with the first stage; the later stages still accept them.  Columns beyond doc_id and text
 pass through, whatever their names; n_chars, where there is one, follows the text.
+
+Rows that share a doc_id but not their text all stay, unless a stage rejects them; where line dedup, near
+duplicates or decontamination decide by doc_id, they share the verdict.  Of rows equal in doc_id and text one
+stays (any, where further columns differ).  Rows without a doc_id can't be grouped with others: they pass
+line dedup, near duplicates and decontamination with all their text, but for exact copies among themselves.
+Packing names pieces by doc_id and leaves them out.
 """
 
 from __future__ import annotations
@@ -38,13 +44,18 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest doc_id stays."""
+    """Of each group of near duplicates the document with the smallest doc_id stays.
+
+    It stays with each of its texts, once.  Rows without a doc_id are in no group and stay, each text once.
+    """
     small_batches(spark)
     groups = ngram_join.near_duplicates(docs)
     name = unused(docs, "first")
     first = groups.where("doc_id = component_id").select(F.col("doc_id").alias(name)).distinct()
     here = docs.join(first, F.col("doc_id").cast("long") == F.col(name), "left_semi")
-    return here.dropDuplicates(["doc_id"])
+    here = here.unionByName(docs.where(F.col("doc_id").cast("long").isNull()))
+    text = unused(docs, "fingerprint")
+    return here.withColumn(text, F.sha2(F.col("text").cast("binary"), 256)).dropDuplicates(["doc_id", text]).drop(text)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

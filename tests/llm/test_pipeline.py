@@ -66,6 +66,16 @@ def test_near_duplicates_keep_one_of_repeated_rows(spark, sf_dir):
     assert sorted(r.doc_id for r in P.near_duplicates(spark, df, sf_dir).collect()) == [4, 11]
 
 
+def test_repeated_and_missing_ids_keep_their_texts(spark, sf_dir):
+    one, two, three = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    df = spark.createDataFrame([(4, one), (4, two), (4, one), (9, one + " x"), (None, three), (None, three), (None, two), (11, None)], "doc_id long, text string")
+    want = sorted([(4, one), (4, two), (None, three), (None, two), (11, None)], key=repr)
+    assert sorted(((r.doc_id, r.text) for r in P.near_duplicates(spark, df, sf_dir).collect()), key=repr) == want
+    for stage in (P.lines, P.decontaminate):
+        got = [r.text for r in stage(spark, df, sf_dir).where("doc_id is null").collect()]
+        assert sorted(got) == sorted([three, three, two]), stage
+
+
 def test_packing_stage(spark, docs, sf_dir):
     from strandlake.llm import packing
     from strandlake.llm.queries import vocabulary
