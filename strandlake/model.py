@@ -25,8 +25,9 @@ RECORD = T.StructType(
 FIELDS = ("id", "desc", "seq", "qual")
 PAIR_COLUMNS = ("ord", *(f"{f}1" for f in FIELDS), *(f"{f}2" for f in FIELDS))
 
-#: Partitions of a frame that is put into order; each is sorted by one task.
-ORDER_PARTITIONS = 200
+#: Ranges of a frame that is put into order: bytes and rows that each aims at, how many there are at most, keys
+#: sampled for each, and bytes of keys that the driver holds as bounds at most.
+RANGE_BYTES, RANGE_ROWS, MOST_RANGES, SAMPLED, BOUND_BYTES = 256 << 20, 1000, 4096, 20, 16 << 20
 #: Up to so many rows are taken by a top-k; more by positions.
 MOST_TOP_K = 100_000
 
@@ -35,23 +36,71 @@ def is_paired(df: DataFrame) -> bool:
     return "id1" in df.columns and "id2" in df.columns
 
 
-def with_position(df: DataFrame, *keys: Column | str, into: str = "ord", partitions: int | None = None) -> DataFrame:
+def plan_bytes(df: DataFrame) -> int | None:
+    """Catalyst's size estimate of a plan, None where it has none."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 60 else None
+
+
+def _bounds(df: DataFrame, key: Column, kind: T.StructType, wanted: int | None) -> list[T.Row]:
+    """Keys that cut df into ranges of like size, in ascending order.
+
+    They are quantiles of a sample that a hash of the key chooses, so they depend on the rows alone.
+    """
+    keys = df.select(key.alias("key"))
+    texts = [F.coalesce(F.octet_length(F.col("key")[f.name]), F.lit(0)) for f in kind if isinstance(f.dataType, T.StringType)]
+    rows, width = keys.agg(F.count("*"), F.avg(sum(texts, F.lit(16)))).first()
+    if not rows:
+        return []
+    if wanted is None:
+        size = plan_bytes(df)
+        wanted = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")), -(-(size or 0) // RANGE_BYTES))
+        wanted = min(wanted, rows // RANGE_ROWS)
+    wanted = min(wanted, rows, MOST_RANGES, int(BOUND_BYTES / width))
+    if wanted < 2:
+        return []
+    share = min(1.0, wanted * SAMPLED / rows)
+    few = keys.where(F.pmod(F.xxhash64("key"), F.lit(1 << 30)) < int(share * (1 << 30))).distinct()
+    ranked = few.select("key", F.ntile(wanted).over(Window.orderBy("key")).alias("tile"))
+    return [r.key for r in ranked.groupBy("tile").agg(F.min("key").alias("key")).orderBy("tile").collect()][1:]
+
+
+def _range_of(key: Column, bounds: list[T.Row], kind: T.StructType) -> Column:
+    """How many bounds are not above the key, by bisection."""
+    if not bounds:
+        return F.lit(0)
+    cell = lambda row: F.struct(*(F.lit(v).cast(f.dataType).alias(f.name) for f, v in zip(kind, row, strict=True)))
+    literal = F.array(*map(cell, bounds))
+    steps = [1 << i for i in reversed(range(len(bounds).bit_length()))]
+
+    def step(at: Column, width: Column) -> Column:
+        further = at["key"] >= F.get(literal, at["n"] + width - 1)
+        return F.struct(F.when(further, at["n"] + width).otherwise(at["n"]).alias("n"), at["key"].alias("key"))
+
+    return F.aggregate(F.array(*map(F.lit, steps)), F.struct(F.lit(0).alias("n"), key.alias("key")), step, lambda at: at["n"])
+
+
+def with_position(df: DataFrame, *keys: Column | str, into: str = "ord", partitions: int | None = None, descending: bool = False) -> DataFrame:
     """df with `into` set to each row's place in the order of the keys, from 0.
 
-    Rows are dealt out by ranges of the keys and sorted within them; the count of each range, one row for
-    each, is summed up and broadcast.  Keys should be unique, else the place among equal ones is open.
-    No task holds more than its range, and no row is moved twice.
+    The range of a row is a function of its keys and of bounds fixed beforehand, so that the rows and the
+    counts of their ranges agree however often and wherever either is computed.  Each row moves once, to its
+    range, and is numbered there; the counts, one row for a range, are summed up and broadcast.  Keys should
+    be unique, else the place among equal ones is open.
     """
-    conf = df.sparkSession.conf
-    n = partitions or max(int(conf.get("spark.sql.shuffle.partitions", str(ORDER_PARTITIONS))), 1)
-    order = [F.col(k) if isinstance(k, str) else k for k in keys]
-    ranged = df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
-    part, place = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
-    counts = ranged.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    key = F.struct(*((F.col(k) if isinstance(k, str) else k).alias(f"k{i}") for i, k in enumerate(keys)))
+    kind = df.select(key.alias("key")).schema["key"].dataType
+    bounds = _bounds(df, key, kind, partitions)
+    part = _range_of(key, bounds, kind)
+    counts = df.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    along = F.desc("_part") if descending else F.asc("_part")
+    before = Window.orderBy(along).rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    out = ranged.withColumn("_part", part).withColumn("_place", place).join(F.broadcast(offsets), "_part")
+    dealt = df.withColumn("_part", part).repartitionById(len(bounds) + 1, "_part")
+    order = [F.desc(k) if descending else F.asc(k) for k in (key[f"k{i}"] for i in range(len(keys)))]
+    placed = dealt.withColumn("_place", F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1)
     names = df.columns if into in df.columns else [*df.columns, into]
+    out = placed.join(F.broadcast(offsets), "_part")
     return out.withColumn(into, (F.col("_before") + F.col("_place")).cast("long")).select(*names)
 
 

@@ -14,7 +14,10 @@ SORT_KEYS = ("id", "name", "len", "seq")
 
 
 def sort_keys(by: str = "id", numeric: bool = False, reverse: bool = False) -> list[Column]:
-    """Bytewise keys, or numbers before all other ids where numeric; ties by ordinal."""
+    """Bytewise keys, or numbers before all other ids where numeric; ties by ordinal.
+
+    For `with_position`, all in one direction: `reverse` turns the ordinal's sign instead.
+    """
     if by not in SORT_KEYS:
         raise ValueError(f"by is one of {', '.join(SORT_KEYS)}")
     value = {"id": F.col("id"), "name": X.full_name(F.col("id"), F.col("desc")), "len": F.length("seq"), "seq": F.col("seq")}[by]
@@ -22,7 +25,7 @@ def sort_keys(by: str = "id", numeric: bool = False, reverse: bool = False) -> l
     if numeric and by in ("id", "name"):
         number = X.numeric_key(value)
         keys = [number.isNull(), number, value]
-    return [*(k.desc() if reverse else k.asc() for k in keys), F.col("ord").asc()]
+    return [*keys, -F.col("ord") if reverse else F.col("ord")]
 
 
 def sort(df: DataFrame, by: str = "id", numeric: bool = False, reverse: bool = False) -> DataFrame:
@@ -31,7 +34,7 @@ def sort(df: DataFrame, by: str = "id", numeric: bool = False, reverse: bool = F
     Ranges of the keys are sorted side by side; the ordinal is part of the key, so equal keys can be split.
     Numbers are unsigned and below 2**128.  Numeric order has no effect on len and seq.
     """
-    return with_position(df, *sort_keys(by, numeric, reverse))
+    return with_position(df, *sort_keys(by, numeric, reverse), descending=reverse)
 
 
 def checked_limit(num: int | None, proportion: float | None) -> None:

@@ -42,10 +42,13 @@ def shuffle(df: DataFrame, seed: int = 42) -> DataFrame:
 def spike(target: DataFrame, add: DataFrame, seed: int = 42) -> DataFrame:
     """All rows of both, the added ones at random slots between the target's rows.
 
-    With n target rows each added row draws a slot from 0 to n; slot s stands behind s target rows.  The
-    target keeps its order; rows of one slot follow by their ordinals.
+    With n target rows each added row draws a slot from 0 to n; slot s stands behind s target rows, whatever
+    gaps their ordinals have (slot 0 behind none: its null sorts first).  The target keeps its order; rows of
+    one slot follow by their ordinals.
     """
     n = target.count()
     slot = F.least(F.floor(hash_uniform(seed, F.col("ord")) * F.lit(n + 1)), F.lit(n))
-    rows = target.withColumn("_slot", 2 * F.col("ord") + 1).unionByName(add.withColumn("_slot", 2 * slot))
-    return with_position(rows.withColumn("_first", F.col("ord")), "_slot", "_first").drop("_slot", "_first")
+    places = with_position(target.select(F.col("ord").alias("_after")), "_after", into="_place")
+    drawn = add.withColumn("_slot", slot).join(places, F.col("_slot") == F.col("_place") + 1, "left").drop("_slot", "_place")
+    rows = target.withColumns({"_after": F.col("ord"), "_added": F.lit(0)}).unionByName(drawn.withColumn("_added", F.lit(1)))
+    return with_position(rows.withColumn("_first", F.col("ord")), "_after", "_added", "_first").drop("_after", "_added", "_first")

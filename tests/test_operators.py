@@ -303,9 +303,46 @@ def test_positions(spark):
     assert with_position(df.where("false"), "k").count() == 0
 
 
+@pytest.mark.parametrize("parts", [4, 8, 200])
+def test_order_holds_with_other_columns(spark, parts):
+    """Places are dense and right over many ranges, with ties, nulls and columns that are no keys."""
+    df = spark.range(20_000).selectExpr("id as ord", "concat('r', pmod(id * 7919, 3000)) as id", "'f' as file", "cast(null as string) as desc", "repeat('ACGT', cast(pmod(id, 9) as int)) as seq", "if(id % 3 = 0, null, repeat('I', 5)) as qual").repartition(16)
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    try:
+        rows = sorted(df.collect(), key=lambda r: r.ord)
+        by_id = [r.ord for r in sorted(rows, key=lambda r: (r.id, r.ord))]
+        by_length = [r.ord for r in sorted(rows, key=lambda r: (-len(r.seq), r.ord))]
+        for found, want in ((order.sort(df.withColumn("was", F.col("ord"))), by_id), (order.sort(df.withColumn("was", F.col("ord")), by="len", reverse=True), by_length)):
+            got = sorted(found.collect(), key=lambda r: r.ord)
+            assert [r.ord for r in got] == list(range(20_000)) and [r.was for r in got] == want
+            assert all((r.id, r.seq, r.qual) == (rows[r.was].id, rows[r.was].seq, rows[r.was].qual) for r in got)
+        moved = sampling.shuffle(df.withColumn("was", F.col("ord"))).collect()
+        assert sorted(r.ord for r in moved) == sorted(r.was for r in moved) == list(range(20_000))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_range_of_keys_with_nulls(spark):
+    df = spark.createDataFrame([(i, None if i % 5 == 0 else f"k{i % 7}", i % 2 == 0) for i in range(500)], "i long, k string, b boolean").repartition(4)
+    rows = [(r.b, r.k is not None, r.k or "", r.i) for r in df.collect()]
+    for down in (False, True):
+        got = with_position(df, "b", "k", "i", into="place", partitions=13, descending=down).collect()
+        assert [r.i for r in sorted(got, key=lambda r: r.place)] == [x[3] for x in sorted(rows, reverse=down)]
+
+
 # sample, shuffle, spike
 
 
+def test_spike_between_rows_with_gaps(spark):
+    """Slots are places among the target's rows, not its ordinals."""
+    target = spark.range(6).selectExpr("id * 1000 as ord", "concat('t', id) as id")
+    add = spark.range(40).selectExpr("id as ord", "concat('a', id) as id")
+    got = [r.id for r in sampling.spike(target, add, seed=1).orderBy("ord").collect()]
+    dense = [r.id for r in sampling.spike(target.withColumn("ord", (F.col("ord") / 1000).cast("long")), add, seed=1).orderBy("ord").collect()]
+    assert got == dense and sorted(got) == sorted([f"t{i}" for i in range(6)] + [f"a{i}" for i in range(40)])
+    assert len({got.index(f"t{i}") - i for i in range(6)}) > 3
+
+
 @pytest.fixture(scope="module")
 def twelve(spark):
     one = frame(spark, [(f"r{i}/1", None, "ACGT", "IIII") for i in range(12)])
