@@ -69,7 +69,11 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, counts and a digest of the base spans, and all spans of each document."""
     docs = read_table(spark, sf_dir, "documents")
     found = pii.detect(docs, pii.train(docs))
-    counts = [F.size(F.filter("base", lambda x, k=k: F.startswith(x, F.lit(f"{k}:")))).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+
+    def count(kind: str):
+        return F.size(F.filter("base", lambda span: F.startswith(span, F.lit(f"{kind}:")))).cast("long").alias(f"n_{kind}")
+
+    counts = [count(k) for k in pii.KINDS]
     return found.select("doc_id", *counts, F.sha2(F.array_join("base", ","), 256).alias("base_sha256"), F.array_join("spans", ",").alias("spans"))
 
 

@@ -1,9 +1,11 @@
 """The training-data queries that SQL can express, on the driver's smallest tables."""
 
+import hashlib
 import os
 import zlib
 
 import pytest
+from test_learned_operators import brute_base
 
 from strandlake.llm.oracles import ORACLES
 from strandlake.llm.queries import QUERIES
@@ -60,6 +62,13 @@ def test_other_queries_columns(spark, duck, name):
         assert sorted(r.doc_id for r in rows) == sorted(x[0] for x in duck.sql("SELECT doc_id FROM documents").fetchall())
     if name == "op1_toxicity":
         assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in rows)
+    if name == "op9_pii":
+        texts = dict(duck.sql("SELECT doc_id, coalesce(text, '') FROM documents").fetchall())
+        for r in rows:
+            base = brute_base(texts[r.doc_id])
+            assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == x[0] for x in base) for k in ("email", "ip", "card", "phone")]
+            assert r.base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in base).encode()).hexdigest()
+        assert sum(r.n_phone for r in rows) and sum(r.n_email for r in rows)
     if name == "op5_retrieval_packing":
         assert len({r.doc_id for r in rows}) == n
     if name == "op2_string_tiling":
