@@ -8,6 +8,9 @@ and the run of other characters after it.  A word that isn't known yet goes to t
 straight away; all other units, and texts with other white space, where a run could go on across a unit's
 end, go through its whole pipeline.  The memo keeps at most two generations of a bounded number of units,
 which changes no result.
+
+Strings of added tokens (such as <|endoftext|>) in a text become those tokens, as in the library; what stands
+between them is encoded piece by piece.  With `special_as_text` strings of special tokens are ordinary text.
 """
 
 from __future__ import annotations
@@ -58,12 +61,18 @@ class _Units(dict):
 class Encoder:
     """encode(texts) -> for each text its ids as little-endian unsigned 32-bit integers, in bytes."""
 
-    def __init__(self, vocabulary: str, most_units: int = 350_000):
+    def __init__(self, vocabulary: str, most_units: int = 350_000, special_as_text: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks share the cores already
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = special_as_text
+        added = {k: t for k, t in self.tokenizer.get_added_tokens_decoder().items() if not (t.special and special_as_text)}
+        #: Added tokens that stand for their exact strings; where any is of another kind, the library does it all.
+        self.added = {t.content: array("I", [k]).tobytes() for k, t in added.items()}
+        self.exact = not any(t.normalized or t.lstrip or t.rstrip or t.single_word for t in added.values())
+        longest = sorted(self.added, key=len, reverse=True)
+        self.cut = re.compile("(" + "|".join(map(re.escape, longest)) + ")").split if longest else None
         self.most = most_units
         self.known = _Units(self._make)
         self.model = self.tokenizer.model
@@ -103,11 +112,18 @@ class Encoder:
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _one(self, text: str) -> bytes:
+        if not self.exact or any(c in text for c in _OTHER_SPACE):
+            return self._whole([text])[0]
+        return b"".join(map(self.known.__getitem__, _UNITS(text)))
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        look, out = self.known.__getitem__, []
+        out = []
         for text in texts:
-            other = any(c in text for c in _OTHER_SPACE)
-            out.append(self._whole([text])[0] if other else b"".join(map(look, _UNITS(text))))
+            if self.exact and any(x in text for x in self.added):
+                out.append(b"".join(self.added.get(x) or self._one(x) for x in self.cut(text) if x))
+            else:
+                out.append(self._one(text))
             if len(self.known) > self.most:
                 self.known.turn()
         return out

@@ -23,7 +23,6 @@ NAMES = ("word_bpe_49k.json", "byte_bpe_50k.json")
 
 def plain(name):
     t = Tokenizer.from_file(public_tokenizers.path(name))
-    t.encode_special_tokens = True
     return lambda text: t.encode(text, add_special_tokens=False).ids
 
 
@@ -40,6 +39,27 @@ def test_memo_encodes_as_the_library_does(name, texts):
     assert memo.encode(cases) == got
 
 
+@pytest.mark.parametrize("name", NAMES)
+def test_strings_of_special_tokens(name):
+    """They are the tokens, as in the library; with special_as_text they are ordinary text."""
+    encode = plain(name)
+    texts = ["hello <|endoftext|> world", "<|endoftext|>", "a<|endoftext|><|startoftext|>b ", "  <|endoftext|>\n x", "<|endoftext|", "e\u0301<|endoftext|>\u0301", "<|ENDOFTEXT|>", "one\u00a0two <|endoftext|> three"]
+    memo = tokens.Encoder(public_tokenizers.path(name))
+    assert memo.encode(texts) == [array("I", encode(t)).tobytes() for t in texts]
+    t = Tokenizer.from_file(public_tokenizers.path(name))
+    t.encode_special_tokens = True
+    memo = tokens.Encoder(public_tokenizers.path(name), special_as_text=True)
+    assert memo.encode(texts) == [array("I", t.encode(x, add_special_tokens=False).ids).tobytes() for x in texts]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.one_of(st.sampled_from(["<|endoftext|>", "<|startoftext|>", " "]), st.text(alphabet="aZ é.'\n\u0301 1<|", max_size=6)), max_size=8))
+def test_memo_around_special_tokens(parts):
+    text = "".join(parts)
+    for name in NAMES:
+        assert tokens.encoder(public_tokenizers.path(name)).encode([text])[0] == array("I", ENCODE[name](text)).tobytes()
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.text(alphabet=st.one_of(st.sampled_from("aAzZ éßÖ.,'! \n\t\r\x0b  \x1c\x85　Σσ1²ⅧéİK<|>_-🙂漢"), st.characters(codec="utf-8")), max_size=40))
 def test_memo_on_any_text(text):
