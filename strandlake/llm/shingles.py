@@ -3,7 +3,8 @@
 A word's hash is a polynomial over random values of its bytes, modulo 2**64, and is mixed afterwards.  All
 words of a text are hashed at once: each byte's value is multiplied by a power of the base that goes by its
 place in the text, sums are taken from word to word, and the power of a word's start is divided out again
-(the base is odd, so it has an inverse).  Nothing is kept between texts but the powers.  Two different
+(the base is odd, so it has an inverse).  Long texts are taken in blocks that end between words, so only the
+powers of one block are kept; a word longer than a block has powers of its own for a moment.  Two different
 shingles of one pair of documents share a hash with a probability of about 1e-13 for the longest texts.
 """
 
@@ -14,17 +15,21 @@ import numpy as np
 _BASE = 0x9E3779B97F4A7C15
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _S1, _S2 = np.uint64(32), np.uint64(29)
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+#: Bytes of a text that are hashed at once.
+BLOCK = 1 << 17
 
 
-def _grow(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n or more powers of the base and of its inverse."""
-    if len(_powers[0]) < n:
-        for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
-            steps = np.full(2 * n, base, np.uint64)
-            steps[0] = 1
-            _powers[k] = np.multiply.accumulate(steps)
-    return _powers[0], _powers[1]
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of the base and of its inverse."""
+    found = []
+    for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+        steps = np.full(n, base, np.uint64)
+        steps[:1] = 1
+        found.append(np.multiply.accumulate(steps))
+    return found[0], found[1]
+
+
+_KEPT = _powers(BLOCK)
 
 
 class Words:
@@ -37,16 +42,34 @@ class Words:
         self.inside[list(separators)] = False
         self.values = np.where(self.inside, values, np.uint64(0))
 
-    def hashes(self, text: bytes | None) -> np.ndarray:
-        raw = np.frombuffer(text or b"", np.uint8)
+    def _block(self, raw: np.ndarray) -> np.ndarray:
         inside = self.inside[raw]
         starts = np.flatnonzero(inside[1:] & ~inside[:-1]) + 1
         if len(raw) and inside[0]:
             starts = np.concatenate((np.zeros(1, np.int64), starts))
         if not len(starts):
             return np.zeros(0, np.uint64)
-        power, inverse = _grow(len(raw))
-        out = np.add.reduceat(self.values[raw] * power[: len(raw)], starts) * inverse[starts]
+        power, inverse = _KEPT if len(raw) <= BLOCK else _powers(len(raw))
+        return np.add.reduceat(self.values[raw] * power[: len(raw)], starts) * inverse[starts]
+
+    def _blocks(self, raw: np.ndarray):
+        begin = 0
+        while begin < len(raw):
+            end = min(begin + BLOCK, len(raw))
+            if end < len(raw) and self.inside[raw[end]]:
+                gaps = np.flatnonzero(~self.inside[raw[begin:end]])
+                if len(gaps):
+                    end = begin + int(gaps[-1]) + 1
+                while not len(gaps) and end < len(raw):  # one word from end to end: to where it ends
+                    further = np.flatnonzero(~self.inside[raw[end : end + BLOCK]])
+                    end = end + int(further[0]) if len(further) else min(end + BLOCK, len(raw))
+                    gaps = further
+            yield self._block(raw[begin:end])
+            begin = end
+
+    def hashes(self, text: bytes | None) -> np.ndarray:
+        raw = np.frombuffer(text or b"", np.uint8)
+        out = self._block(raw) if len(raw) <= BLOCK else np.concatenate(list(self._blocks(raw)))
         out ^= out >> _S1
         out *= _M1
         out ^= out >> _S2

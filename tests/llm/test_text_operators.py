@@ -119,6 +119,72 @@ def test_join_of_chains_and_crowds(spark, monkeypatch):
         texts.append(passage + " " + " ".join(f"q{rng.randrange(9000)}" for _ in range(rng.randrange(4, 14))))
     monkeypatch.setattr(ngram_join, "HOT", 10)
     check_join(spark, [(i * 5 + 2, t) for i, t in enumerate(texts)], tile=7)
+    check_join(spark, [(i * 5 + 2, t) for i, t in enumerate(texts)], tile=7, dense=0)
+
+
+@pytest.mark.parametrize("dense", [0, 1])
+def test_join_gives_rows_by_points(spark, dense):
+    """Texts that differ in one block each meet in the same trees; links are found in the tile or after it."""
+    rng = random.Random(3)
+    base = [f"w{i}" for i in range(120)]
+    texts = []
+    for i in range(70):
+        own, at = list(base), rng.randrange(0, 110)
+        own[at : at + 4 + i % 3] = [f"x{i}.{k}" for k in range(4 + i % 3)]
+        texts.append(" ".join(own))
+        if i % 4 == 0:
+            texts.append(" ".join([*own[:-1], "end"]))
+    check_join(spark, list(enumerate(texts)), dense=dense, tile=50)
+
+
+def test_join_of_repeated_ids(spark):
+    """One id with several texts is one node; other documents' links don't suffer from it."""
+    rng = random.Random(6)
+    text = lambda n: [f"w{rng.randrange(400)}" for _ in range(n)]
+    bases = [text(90) for _ in range(6)]
+    rows = []
+    for i, b in enumerate(bases):
+        for k in range(4):
+            own = list(b)
+            own[rng.randrange(90)] = f"n{i}.{k}"
+            rows.append((10 * i + k, " ".join(own)))
+    rows += [(3, rows[12][1]), (3, " ".join(text(30))), (41, rows[0][1]), (9, rows[21][1])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.component_id for r in ngram_join.join(df)[0].collect()}
+    want = brute_components([((d, i), t) for i, (d, t) in enumerate(rows)])
+    root = {d: d for d, _ in rows}
+
+    def find(d):
+        while root[d] != d:
+            d = root[d]
+        return d
+
+    for (d, _), (_, (e, _)) in want.items():
+        x, y = sorted((find(d), find(e)))
+        root[y] = x
+    assert got == {d: find(d) for d in root} and len(set(got.values())) < len(got) - 8
+
+
+def test_large_counts_stay_bounds():
+    """Counts above a byte's room: what they leave out is part of the bound."""
+    rng = np.random.default_rng(4)
+    sets = [np.unique(rng.integers(0, 1 << 63, 90_000, dtype=np.uint64)) for _ in range(2)]
+    sets.append(np.sort(np.concatenate((sets[0][:80_000], sets[1][:8_000]))))
+    points, sizes = np.array([ngram_join.point(s) for s in sets]), np.array([len(s) for s in sets])
+    order = np.argsort(sizes, kind="stable")
+    got = {tuple(sorted((int(order[p]), int(order[q])))) for ps, qs in ngram_join.RTree(points[order], sizes[order]).pairs(80) for p, q in zip(ps, qs, strict=True)}
+    assert points.max() == 255 and (0, 2) in got
+
+
+def test_hashes_of_long_texts_and_long_words():
+    rng = np.random.default_rng(0)
+    text = np.where(rng.random(5 * shingles.BLOCK) < 0.1, 32, rng.integers(97, 123, 5 * shingles.BLOCK)).astype(np.uint8).tobytes()
+    text = text[:200_000] + b"y" * (2 * shingles.BLOCK + 5) + b" " + text[200_000:]
+    whole = shingles.PLAIN.hashes(text)
+    words = text.split()
+    assert len(whole) == len(words)
+    for k in (0, 1, 77, len(words) // 2, len(words) - 1, max(range(len(words)), key=lambda i: len(words[i]))):
+        assert shingles.PLAIN.hashes(words[k])[0] == whole[k]
 
 
 def test_join_of_nothing_and_odd_rows(none, odd):
@@ -128,16 +194,16 @@ def test_join_of_nothing_and_odd_rows(none, odd):
 
 def test_rtree_loses_no_pair():
     rng = np.random.default_rng(2)
-    points = rng.poisson(3, (300, ngram_join.GROUPS)).astype(np.uint32)
+    points = rng.poisson(3, (300, ngram_join.GROUPS)).astype(np.uint8)
     points[100:200] = points[:100]
     points[100:200, 5] += 1
-    sizes = points.sum(axis=1).astype(np.int64)
+    sizes = points.sum(axis=1, dtype=np.int64)
     order = np.argsort(sizes, kind="stable")
     tree = ngram_join.RTree(points[order], sizes[order])
     got = {tuple(sorted((int(order[p]), int(order[q])))) for ps, qs in tree.pairs(80) for p, q in zip(ps, qs, strict=True)}
     want = set()
     for a, b in itertools.combinations(range(300), 2):
-        most = int(np.minimum(points[a], points[b]).sum())
+        most = int(np.minimum(points[a], points[b]).sum(dtype=np.int64))
         if 100 * most >= 80 * (sizes[a] + sizes[b] - most):
             want.add((a, b))
     assert got == want and len(want) >= 100
