@@ -1,21 +1,24 @@
-"""Operator 8, line dedup: exact template keys, at most three a line.
+"""Operator 8, line dedup: a log-template tree of fixed depth.
 
-Tokens with a digit are variable fields and are generalised to <*> first.  The keys (leaves) of a line, each
-with its exact number of tokens, are
+What is parsed are units: every line, and every sentence of `least_sentence` tokens or more in lines of
+several sentences (a sentence ends behind . ! or ? before white space), since a passage may stand anywhere
+in a line.  Tokens with a digit are variable fields, <*>; a unit of which more than half are variable keeps
+its tokens as they are, and one without any constant token has no leaf.  The path of a unit is
 
-    whole   all tokens, with <*> for variable fields
-    left    the leading half; the other half is generalised          (lines of LONG tokens or more)
-    right   the two leading tokens and the last half; what stands between is generalised
+    number of tokens  ->  LEADING leading tokens  ->  the rest, as a template
 
-so a line meets others of its length that differ from it in some words of one half.  Lines aren't compared
-by similarity: words without a digit are constants in lines of fewer than LONG tokens, and a passage shared
-with a line of another length, or in the middle of a line, isn't found.  A leaf that lines of several
-documents reach is a recurring template: its lines stay in the document with the smallest doc_id and are
-dropped from all others.  Leaves are counted by an aggregate with map-side combine.
+and its leaves are the template of all its constants and, for lines of `least_field` tokens or more, the
+four templates in which one quarter of the rest is a variable field as well.  So a line meets others of its
+number of tokens and leading tokens that differ from it within a quarter, and in numbers anywhere.
 
-Lines of fewer than LEAST tokens, and empty lines, have no leaf and stay.  A null text has no lines and
-stays null.  Rows that repeat a doc_id count as one document; rows without one keep their text.  Extra columns pass through; columns named
-n_lines or n_dropped are replaced.
+A leaf that units of several documents reach is a recurring template: its units stay in the document with
+the smallest doc_id and are dropped from all others, sentences with the white space behind them.  A line
+of which all sentences go is dropped.  Leaves are counted by an aggregate with map-side combine; the count
+of a leaf never needs its lines together.
+
+Empty lines have no leaf and stay.  A null text has no lines and stays null.  Rows that repeat a doc_id
+count as one document; rows without one keep their text.  Extra columns pass through; columns named
+n_lines, n_dropped or n_cut are replaced.
 """
 
 from __future__ import annotations
@@ -29,33 +32,66 @@ from pyspark.sql import functions as F
 
 from .common import arrow_schema, stored, text_bytes, unused
 
-LEAST = 5
-LONG = 12
-LEADING = 2
-_FIELD = re.compile(rb"[^ \t-\r]*[0-9][^ \t-\r]*")
+LEADING, QUARTERS = 2, 4
+LEAST_SENTENCE, LEAST_FIELD = 8, 8
+_DIGIT = re.compile(rb"[0-9]").search
+_END = re.compile(rb"[.!?][ \t-\r]+").finditer
+
+
+def sentences(line: bytes) -> list[bytes]:
+    """The sentences of a line, each with the white space behind it."""
+    ends = [m.end() for m in _END(line)]
+    return [x for x in (line[a:b] for a, b in zip([0, *ends], [*ends, len(line)], strict=True)) if x]
+
+
+def _tokens(unit: bytes) -> list[bytes]:
+    """The tokens as they count: generalised, as they are, or none."""
+    tokens = unit.split()
+    if not _DIGIT(unit):
+        return tokens if any(t != b"<*>" for t in tokens) else []
+    general = [b"<*>" if _DIGIT(t) else t for t in tokens]
+    constant = len(tokens) - general.count(b"<*>")
+    return [] if not constant else general if 2 * constant >= len(tokens) else tokens
+
 
+def _number(leaf: bytes) -> int:
+    return xxhash.xxh3_64_intdigest(leaf) - (1 << 63)
 
-def leaves(line: bytes) -> list[int]:
-    """The leaves of one line as signed 64-bit numbers."""
-    tokens = (_FIELD.sub(b"<*>", line) if any(d in line for d in b"0123456789") else line).split()
+
+def line_leaves(line: bytes, least_field: int = LEAST_FIELD) -> list[int]:
+    """The leaves of a whole line as signed 64-bit numbers."""
+    tokens = _tokens(line)
     n = len(tokens)
-    if n < LEAST:
+    if not n:
         return []
     found = [b"%d W " % n + b" ".join(tokens)]
-    if n >= LONG:
-        found.append(b"%d L " % n + b" ".join(tokens[: (n + 1) // 2]))
-        found.append(b"%d R " % n + b" ".join(tokens[:LEADING]) + b" <*> " + b" ".join(tokens[n - n // 2 :]))
-    return [xxhash.xxh3_64_intdigest(x) - (1 << 63) for x in found]
+    if n >= least_field:
+        for k in range(QUARTERS):
+            low, high = (LEADING + (n - LEADING) * x // QUARTERS for x in (k, k + 1))
+            found.append(b"%d F%d " % (n, k) + b" ".join((*tokens[:low], b"<*>", *tokens[high:])))
+    return [_number(x) for x in found]
+
+
+def sentence_leaf(sentence: bytes, least_sentence: int = LEAST_SENTENCE) -> int | None:
+    tokens = _tokens(sentence)
+    return _number(b"%d W " % len(tokens) + b" ".join(tokens)) if len(tokens) >= max(1, least_sentence) else None
 
 
-def recurring(docs: DataFrame, least_documents: int = 2) -> DataFrame:
+def leaves(line: bytes, least_field: int = LEAST_FIELD, least_sentence: int = LEAST_SENTENCE) -> list[int]:
+    """The leaves of a line and of its sentences."""
+    parts = sentences(line)
+    own = [sentence_leaf(x, least_sentence) for x in parts] if len(parts) > 1 else []
+    return line_leaves(line, least_field) + [x for x in own if x is not None]
+
+
+def recurring(docs: DataFrame, least_documents: int = 2, least_field: int = LEAST_FIELD, least_sentence: int = LEAST_SENTENCE) -> DataFrame:
     """doc_id and leaf: the templates that a document has to drop."""
 
     def run(batches):
         for b in batches:
             owners, found = [], []
             for doc_id, text in zip(b.column(0).to_pylist(), text_bytes(b.column(1)), strict=True):
-                own = {x for line in (text or b"").split(b"\n") for x in leaves(line)}
+                own = {x for line in (text or b"").split(b"\n") for x in leaves(line, least_field, least_sentence)}
                 owners += [doc_id] * len(own)
                 found += own
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(owners, pa.int64())], names=["leaf", "doc_id"])
@@ -69,27 +105,40 @@ def recurring(docs: DataFrame, least_documents: int = 2) -> DataFrame:
     return rows.join(counted, "leaf").where("doc_id <> first").select("doc_id", "leaf")
 
 
-def drop_recurring(docs: DataFrame, least_documents: int = 2) -> DataFrame:
-    """docs with the recurring lines removed from text, n_lines (before) and n_dropped."""
-    docs = docs.drop("n_lines", "n_dropped")
+def drop_recurring(docs: DataFrame, least_documents: int = 2, least_field: int = LEAST_FIELD, least_sentence: int = LEAST_SENTENCE) -> DataFrame:
+    """docs with what recurs removed from text; n_lines (before), n_dropped (lines) and n_cut (sentences of other lines)."""
+    docs = docs.drop("n_lines", "n_dropped", "n_cut")
     owner, found = unused(docs, "_doc"), unused(docs, "_leaves")
-    lost = recurring(docs, least_documents).groupBy(F.col("doc_id").alias(owner)).agg(F.collect_set("leaf").alias(found))
+    lost = recurring(docs, least_documents, least_field, least_sentence).groupBy(F.col("doc_id").alias(owner)).agg(F.collect_set("leaf").alias(found))
     joined = docs.join(lost, F.col("doc_id").cast("long") == F.col(owner), "left").drop(owner)
-    out = docs.withColumn("text", F.col("text").cast("string")).withColumn("n_lines", F.lit(0).cast("long")).withColumn("n_dropped", F.lit(0).cast("long")).schema
+    counts = {n: F.lit(0).cast("long") for n in ("n_lines", "n_dropped", "n_cut")}
+    out = docs.withColumn("text", F.col("text").cast("string")).withColumns(counts).schema
     names = [f.name for f in out]
     kinds = arrow_schema(out)
 
+    def left(line: bytes, held: set[int]) -> tuple[bytes | None, int]:
+        """What stays of a line (None: nothing), and how many sentences went."""
+        if held.intersection(line_leaves(line, least_field)):
+            return None, 0
+        parts = sentences(line)
+        stay = [x for x in parts if sentence_leaf(x, least_sentence) not in held] if len(parts) > 1 else parts
+        if len(stay) == len(parts):
+            return line, 0
+        return (b"".join(stay), len(parts) - len(stay)) if stay else (None, 0)
+
     def run(batches):
         for b in batches:
-            texts, before, dropped = [], [], []
+            texts, before, dropped, cut = [], [], [], []
             for text, gone in zip(text_bytes(b.column(b.schema.names.index("text"))), b.column(b.schema.names.index(found)).to_pylist(), strict=True):
                 lines = [] if text is None else text.split(b"\n")
                 held = set(gone or ())
-                kept = [x for x in lines if not held.intersection(leaves(x))] if held else lines
-                texts.append(text if len(kept) == len(lines) else b"\n".join(kept))
+                kept = [left(x, held) for x in lines] if held else []
+                here = [x for x, _ in kept if x is not None]
+                texts.append(b"\n".join(here) if held else text)
                 before.append(len(lines))
-                dropped.append(len(lines) - len(kept))
-            made = {"text": pa.array(texts, pa.binary()).cast(pa.string()), "n_lines": pa.array(before, pa.int64()), "n_dropped": pa.array(dropped, pa.int64())}
+                dropped.append(len(kept) - len(here))
+                cut.append(sum(n for _, n in kept))
+            made = {"text": pa.array(texts, pa.binary()).cast(pa.string()), "n_lines": pa.array(before, pa.int64()), "n_dropped": pa.array(dropped, pa.int64()), "n_cut": pa.array(cut, pa.int64())}
             columns = [made[n] if n in made else b.column(b.schema.names.index(n)) for n in names]
             yield pa.RecordBatch.from_arrays([c.cast(kinds.field(i).type) if c.type != kinds.field(i).type else c for i, c in enumerate(columns)], names=names)
 

@@ -1,5 +1,6 @@
 """DuckDB SQL with the same rows as the queries that SQL can express."""
 
+from .line_templates import LEADING, LEAST_FIELD, LEAST_SENTENCE, QUARTERS
 from .quality_rules import MAX_REPEAT_PERCENT, MIN_WORDS, RULES, STOP_WORDS
 
 
@@ -62,24 +63,36 @@ SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least(d.doc_id, min(r.b
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN r ON r.a = d.doc_id GROUP BY d.doc_id, n.n"""
 
 
-_TEMPLATES = r"""
+_TEMPLATES = rf"""
 WITH x AS (
   SELECT doc_id, i, t[i] AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS t FROM documents WHERE text IS NOT NULL), unnest(range(1, len(t) + 1)) AS u(i)),
+p AS (SELECT *, list_filter(string_split(regexp_replace(line, '([.!?][\x20\x09-\x0D]+)', '\1' || chr(30), 'g'), chr(30)), lambda y: y <> '') AS s FROM x),
+u AS (
+  SELECT doc_id, i, 0 AS j, line AS unit FROM p
+  UNION ALL SELECT doc_id, i, j, s[j] FROM p, unnest(range(1, len(s) + 1)) AS v(j) WHERE len(s) > 1),
 w AS (
-  SELECT doc_id, i, line, list_filter(string_split_regex(regexp_replace(line, '[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*', '<*>', 'g'), '[\x20\x09-\x0D]+'), lambda y: y <> '') AS w
-  FROM x),
+  SELECT doc_id, i, j, list_filter(string_split_regex(unit, '[\x20\x09-\x0D]+'), lambda y: y <> '') AS raw,
+         list_filter(string_split_regex(regexp_replace(unit, '[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*', '<*>', 'g'), '[\x20\x09-\x0D]+'), lambda y: y <> '') AS general FROM u),
+t AS (
+  SELECT doc_id, i, j, len(raw) AS n, CASE WHEN 2 * len(list_filter(general, lambda y: y <> '<*>')) >= len(raw) THEN general ELSE raw END AS w
+  FROM w WHERE len(list_filter(general, lambda y: y <> '<*>')) > 0 AND (j = 0 OR len(raw) >= {LEAST_SENTENCE})),
 k AS (
-  SELECT doc_id, i, len(w) || ' W ' || array_to_string(w, ' ') AS leaf FROM w WHERE len(w) >= 5
-  UNION ALL SELECT doc_id, i, len(w) || ' L ' || array_to_string(w[1:(len(w) + 1) // 2], ' ') FROM w WHERE len(w) >= 12
-  UNION ALL SELECT doc_id, i, len(w) || ' R ' || array_to_string(w[1:2], ' ') || ' <*> ' || array_to_string(w[len(w) - len(w) // 2 + 1:], ' ') FROM w WHERE len(w) >= 12),
+  SELECT doc_id, i, j, n || ' W ' || array_to_string(w, ' ') AS leaf FROM t
+  UNION ALL SELECT doc_id, i, j, n || ' F' || q || ' ' || array_to_string(list_concat(w[1:{LEADING} + (n - {LEADING}) * q // {QUARTERS}], ['<*>'], w[{LEADING} + (n - {LEADING}) * (q + 1) // {QUARTERS} + 1:]), ' ')
+  FROM t, unnest(range(0, {QUARTERS})) AS v(q) WHERE j = 0 AND n >= {LEAST_FIELD}),
 f AS (SELECT leaf, min(doc_id) AS first FROM k GROUP BY leaf HAVING count(DISTINCT doc_id) >= 2),
-gone AS (SELECT DISTINCT doc_id, i FROM k JOIN f USING (leaf) WHERE doc_id <> first),
-s AS (
-  SELECT x.doc_id, count(*)::BIGINT AS n_lines, count(gone.i)::BIGINT AS n_dropped,
-         coalesce(string_agg(line, chr(10) ORDER BY x.i) FILTER (gone.i IS NULL), '') AS text
-  FROM x LEFT JOIN gone USING (doc_id, i) GROUP BY x.doc_id)
-SELECT d.doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_dropped, 0)::BIGINT AS n_dropped, s.text
-FROM documents d LEFT JOIN s USING (doc_id)"""
+gone AS (SELECT DISTINCT doc_id, i, j FROM k JOIN f USING (leaf) WHERE doc_id <> first),
+l AS (
+  SELECT p.doc_id, p.i, any_value(line) AS line, any_value(s) AS s, coalesce(bool_or(j = 0), false) AS whole, coalesce(list(j) FILTER (j > 0), []) AS cut
+  FROM p LEFT JOIN gone ON gone.doc_id = p.doc_id AND gone.i = p.i GROUP BY p.doc_id, p.i),
+o AS (
+  SELECT doc_id, i, whole OR (len(cut) > 0 AND len(cut) = len(s)) AS lost, len(cut) AS n,
+         CASE WHEN len(cut) = 0 THEN line ELSE array_to_string(list_transform(list_filter(range(1, len(s) + 1), lambda y: NOT list_contains(cut, y)), lambda y: s[y]), '') END AS line FROM l),
+r AS (
+  SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (lost)::BIGINT AS n_dropped, coalesce(sum(n) FILTER (NOT lost), 0)::BIGINT AS n_cut,
+         coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT lost), '') AS text FROM o GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_dropped, 0)::BIGINT AS n_dropped, coalesce(n_cut, 0)::BIGINT AS n_cut, r.text
+FROM documents d LEFT JOIN r USING (doc_id)"""
 
 
 _BACKOFF = r"""

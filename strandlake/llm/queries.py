@@ -61,8 +61,8 @@ def op7_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, n_lines, n_dropped and the text that is left of each document."""
-    return line_templates.drop_recurring(read_table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", "text")
+    """doc_id, n_lines, n_dropped, n_cut and the text that is left of each document."""
+    return line_templates.drop_recurring(read_table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", "n_cut", "text")
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -35,7 +35,7 @@ def test_stages(spark, docs, sf_dir):
             assert after == {i: t for i, t in before.items() if i in kept} and after
         elif name == "line_dedup":
             lines = brute_lines(before.items())
-            assert after == {i: t for i, (t, n, gone) in lines.items() if not n or gone < n}
+            assert after == {i: t for i, (t, n, gone, _) in lines.items() if not n or gone < n}
             assert all(r.n_chars == len(r.text) for r in out.collect())
         elif name == "ngram_jaccard_join":
             groups = brute_components(before.items())

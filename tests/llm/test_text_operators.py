@@ -225,29 +225,55 @@ def test_components(spark, one_task):
 # Line templates
 
 
-def brute_lines(rows, least=5, long=12):
-    def leaves(line):
-        t = ["<*>" if re.search("[0-9]", w) else w for w in WORD.findall(line)]
-        n = len(t)
-        if n < least:
-            return []
-        return [(n, *t)] + ([(n, "L", *t[: (n + 1) // 2]), (n, "R", *t[:2], *t[n - n // 2 :])] if n >= long else [])
+def brute_lines(rows):
+    """text, n_lines, n_dropped and n_cut of each document, unit by unit in plain Python."""
+
+    def tokens(unit):
+        raw = [w for w in re.split(r"[ \t-\r]+", unit) if w]
+        general = ["<*>" if re.search("[0-9]", w) else w for w in raw]
+        constant = sum(w != "<*>" for w in general)
+        return [] if not constant else general if 2 * constant >= len(raw) else raw
+
+    def cut(line):
+        return [x for x in re.sub(r"([.!?][ \t-\r]+)", "\\1\0", line).split("\0") if x]
+
+    def whole(line):
+        t = tokens(line)
+        found = {(len(t), None, tuple(t))} if t else set()
+        if len(t) >= 8:
+            at = [2 + (len(t) - 2) * k // 4 for k in range(5)]
+            found |= {(len(t), k, tuple(t[: at[k]] + ["<*>"] + t[at[k + 1] :])) for k in range(4)}
+        return found
+
+    def part(sentence):
+        t = tokens(sentence)
+        return {(len(t), None, tuple(t))} if len(t) >= 8 else set()
 
     owners = {}
     for i, text in rows:
-        for line in (text or "").split("\n"):
-            for leaf in leaves(line):
+        for line in [] if text is None else text.split("\n"):
+            for leaf in whole(line).union(*(part(x) for x in cut(line) if len(cut(line)) > 1)):
                 owners.setdefault(leaf, set()).add(i)
     out = {}
     for i, text in rows:
-        lines = [] if text is None else text.split("\n")
-        kept = [x for x in lines if not any(len(owners[f]) > 1 and min(owners[f]) != i for f in leaves(x))]
-        out[i] = (None if text is None else "\n".join(kept), len(lines), len(lines) - len(kept))
+        gone = lambda found, i=i: any(len(owners[f]) > 1 and min(owners[f]) != i for f in found)
+        lines, kept, n_cut = [] if text is None else text.split("\n"), [], 0
+        for line in lines:
+            if gone(whole(line)):
+                continue
+            parts = cut(line)
+            stay = [x for x in parts if not gone(part(x))] if len(parts) > 1 else parts
+            if len(stay) == len(parts):
+                kept.append(line)
+            elif stay:
+                kept.append("".join(stay))
+                n_cut += len(parts) - len(stay)
+        out[i] = (None if text is None else "\n".join(kept), len(lines), len(lines) - len(kept), n_cut)
     return out
 
 
 def test_lines_match_brute_force(docs, rows):
-    got = {r.doc_id: (r.text, r.n_lines, r.n_dropped) for r in line_templates.drop_recurring(docs).collect()}
+    got = {r.doc_id: (r.text, r.n_lines, r.n_dropped, r.n_cut) for r in line_templates.drop_recurring(docs).collect()}
     assert got == brute_lines([(r[0], r[1]) for r in rows])
 
 
@@ -260,6 +286,30 @@ def test_variable_fields_are_generalised(spark):
     assert {r.doc_id: r.n_dropped for r in line_templates.drop_recurring(df, least_documents=3).collect()} == dict.fromkeys(range(6), 0)
 
 
+def test_short_lines_and_passages_within_lines(spark):
+    """Lines of a word or more recur, numbers alone don't; a passage goes from the middle of other lines."""
+    passage = "The first of these sentences is long enough to count. The second of them, too, has its nine words or so. "
+    texts = [
+        "Accept all cookies\n42\n12 13 14 x",
+        "Accept all cookies\nits own line\n42",
+        "Before it stands something. " + passage + "And behind it something else.",
+        passage + "Quite another end.",
+        passage.strip(),
+        "Short one. Short two. Own words here.",
+        "Short one. Short two. Other words there.\n15 16 17 x",
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: (r.text, r.n_lines, r.n_dropped, r.n_cut) for r in line_templates.drop_recurring(df).collect()}
+    assert got == brute_lines(list(enumerate(texts)))
+    assert got[1] == ("its own line\n42", 3, 1, 0) and got[2][0] == texts[2] and got[3] == ("Quite another end.", 1, 0, 2)
+    assert got[4] == ("", 1, 1, 0) and got[5][0] == texts[5] and got[6][0] == texts[6]
+
+
+def test_long_lines_without_digits_are_parsed_in_linear_time():
+    assert len(line_templates.leaves(b"x" * 3_000_000 + b" 1")) == 1
+    assert len(line_templates.leaves(b"word and others. " * 100_000)) == 5
+
+
 def test_lines_of_nothing_and_odd_rows(none, odd):
     assert line_templates.drop_recurring(none).count() == 0
     out = line_templates.drop_recurring(odd)
