@@ -343,20 +343,64 @@ def brute_tiles(p, t, least):
 
 
 def test_tiling_matches_brute_force():
+    """The same tiles, one by one, ties included."""
     rng = random.Random(6)
-    for _ in range(150):
-        p = [rng.choice("abcd") for _ in range(rng.randrange(4, 30))]
-        t = [rng.choice("abcd") for _ in range(rng.randrange(4, 40))]
-        x, y = (np.array([ord(c) for c in s], np.uint64) for s in (p, t))
-        wx, wy = shingles.windows(x, 3), shingles.windows(y, 3)
-        pairs = np.array([(i, j) for i in range(len(wx)) for j in range(len(wy)) if wx[i] == wy[j]]).reshape(-1, 2)
-        got = string_tiling.tiles(x, y, pairs[:, 0], pairs[:, 1], 3)
-        want = brute_tiles(p, t, 3)
-        assert sorted(n for *_, n in got)[-1:] == sorted(n for *_, n in want)[-1:]
-        assert all(p[i : i + n] == t[j : j + n] for i, j, n in got)
-        for side, size in ((0, len(p)), (1, len(t))):
-            covered = [k for tile in got for k in range(tile[side], tile[side] + tile[2])]
-            assert len(covered) == len(set(covered)) and all(k < size for k in covered)
+    for round_ in range(250):
+        letters = "ab" if round_ % 5 == 0 else "abcd"
+        p = [rng.choice(letters) for _ in range(rng.randrange(4, 30))]
+        t = [rng.choice(letters) for _ in range(rng.randrange(4, 40))]
+        known = {}
+        code = lambda w, known=known: known.setdefault(tuple(w), len(known) + 1)
+        item = np.array([code(p[i : i + 3]) for i in range(len(p) - 2)])
+        at = [j for j in range(len(t) - 2) if tuple(t[j : j + 3]) in known]
+        got = string_tiling.tiles(item, np.array([code(t[j : j + 3]) for j in at], np.int64), np.array(at, np.int64), 3)
+        assert sorted(got) == sorted(brute_tiles(p, t, 3)), (p, t)
+
+
+def brute_leaks(docs, bench, least=5, share=0.5):
+    words = lambda t: [w.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")) for w in re.findall(r"[^ \t-\r!-/:-@\[-`{-~]+", t or "")]
+    found = []
+    for d, text in docs:
+        for i, item in bench:
+            t, p = words(text), words(item)
+            if p:
+                n = min(least, len(p))
+                tiles = brute_tiles(p, t, n)
+                covered = sum(x[2] for x in tiles)
+                if covered >= share * len(p):
+                    found.append((d, i, len(tiles), covered, len(p)))
+    return sorted(found, key=repr)
+
+
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_leaks_match_brute_force(spark, monkeypatch, broadcast):
+    """Moved, repeated and overlapping passages, equal rows and repeated ids, by either join."""
+    if not broadcast:
+        monkeypatch.setattr(string_tiling, "MOST_BROADCAST", 0)
+    rng = random.Random(12)
+    word = lambda k=60: f"W{rng.randrange(k)}"
+    bench = [(i, " ".join(word() for _ in range(rng.randrange(1, 40)))) for i in range(12)]
+    bench += [(3, bench[3][1]), (5, "one two, three"), (None, bench[2][1]), (13, "aa aa aa aa aa aa aa aa"), (14, None), (15, " . ")]
+    docs = []
+    for i in range(30):
+        parts = [word(1000) for _ in range(rng.randrange(0, 30))]
+        for _ in range(rng.randrange(0, 4)):
+            own = rng.choice(bench[:12])[1].split()
+            a = rng.randrange(len(own))
+            parts[rng.randrange(len(parts) + 1) : 0] = own[a : a + rng.randrange(1, 40)]
+        docs.append((i, " ".join(parts)))
+    docs += [(4, docs[4][1]), (4, bench[7][1]), (None, bench[8][1] + "!"), (40, "AA, " * 30), (41, "x one TWO three"), (42, None), (43, "")]
+    got = string_tiling.leaks(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), spark.createDataFrame(bench, "item_id long, text string")).collect()
+    want = brute_leaks(docs, bench)
+    assert sorted(((r.doc_id, r.item_id, r.n_tiles, r.covered_words, r.item_words) for r in got), key=repr) == want and len(want) >= 15
+
+
+def test_texts_of_one_repeated_word(spark):
+    """Places meet as seeds, not pair by pair."""
+    docs = spark.createDataFrame([(1, "the " * 200_000), (2, "of the the the the the")], "doc_id long, text string")
+    bench = spark.createDataFrame([(9, "the " * 300)], "item_id long, text string")
+    got = [(r.doc_id, r.covered_words) for r in string_tiling.leaks(docs, bench).collect()]
+    assert got == [(1, 300)]
 
 
 def test_leaks(spark):
@@ -377,15 +421,6 @@ def test_leaks(spark):
     assert got == {(1, 9): (1, 30), (2, 9): (3, 30), (3, 9): (1, 30), **{(d, 10): (1, 3) for d in (1, 2, 3, 4)}}
 
 
-def test_leaks_in_blocks(spark, monkeypatch, docs, rows):
-    bench = spark.createDataFrame([(i, t) for i, t, *_ in rows], "item_id long, text string")
-    key = lambda df: sorted((r.doc_id, r.item_id, r.covered_words) for r in df.collect())
-    small = docs.where("length(text) < 4000")
-    whole = key(string_tiling.leaks(small, bench.where("length(text) < 4000")))
-    monkeypatch.setattr(string_tiling, "BLOCK_BYTES", 3000)
-    assert key(string_tiling.leaks(small, bench.where("length(text) < 4000"))) == whole and whole
-
-
 def test_leaks_of_nothing_and_odd_rows(spark, none, odd):
     empty = spark.createDataFrame([], "item_id long, text string")
     assert string_tiling.leaks(none, empty).count() == string_tiling.leaks(odd, empty).count() == 0
