@@ -23,78 +23,133 @@ n_lines, n_dropped or n_cut are replaced.
 
 from __future__ import annotations
 
-import re
-
+import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_schema, stored, text_bytes, unused
+from .shingles import Words, powers
+from .tokens import sized_batches
 
 LEADING, QUARTERS = 2, 4
 LEAST_SENTENCE, LEAST_FIELD = 8, 8
-_DIGIT = re.compile(rb"[0-9]").search
-_END = re.compile(rb"[.!?][ \t-\r]+").finditer
-
-
-def sentences(line: bytes) -> list[bytes]:
-    """The sentences of a line, each with the white space behind it."""
-    ends = [m.end() for m in _END(line)]
-    return [x for x in (line[a:b] for a, b in zip([0, *ends], [*ends, len(line)], strict=True)) if x]
-
-
-def _tokens(unit: bytes) -> list[bytes]:
-    """The tokens as they count: generalised, as they are, or none."""
-    tokens = unit.split()
-    if not _DIGIT(unit):
-        return tokens if any(t != b"<*>" for t in tokens) else []
-    general = [b"<*>" if _DIGIT(t) else t for t in tokens]
-    constant = len(tokens) - general.count(b"<*>")
-    return [] if not constant else general if 2 * constant >= len(tokens) else tokens
-
-
-def _number(leaf: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(leaf) - (1 << 63)
-
-
-def line_leaves(line: bytes, least_field: int = LEAST_FIELD) -> list[int]:
-    """The leaves of a whole line as signed 64-bit numbers."""
-    tokens = _tokens(line)
-    n = len(tokens)
-    if not n:
-        return []
-    found = [b"%d W " % n + b" ".join(tokens)]
-    if n >= least_field:
-        for k in range(QUARTERS):
-            low, high = (LEADING + (n - LEADING) * x // QUARTERS for x in (k, k + 1))
-            found.append(b"%d F%d " % (n, k) + b" ".join((*tokens[:low], b"<*>", *tokens[high:])))
-    return [_number(x) for x in found]
-
-
-def sentence_leaf(sentence: bytes, least_sentence: int = LEAST_SENTENCE) -> int | None:
-    tokens = _tokens(sentence)
-    return _number(b"%d W " % len(tokens) + b" ".join(tokens)) if len(tokens) >= max(1, least_sentence) else None
+_WORDS = Words(b" \t\n\x0b\x0c\r", fold=False)
+_FIELD = _WORDS.hashes(b"<*>")[0]
+_DIGITS, _ENDS = np.zeros(256, np.uint8), np.zeros(256, bool)
+_DIGITS[48:58] = 1
+_ENDS[list(b".!?")] = True
+_M1, _M2, _M3 = (np.uint64(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x9E3779B97F4A7C15))
+
+
+def _mixed(sums: np.ndarray, n: np.ndarray, kind: int) -> np.ndarray:
+    """Leaves as signed numbers, from a sum over tokens, the number of tokens and which template it is."""
+    x = sums ^ (n.astype(np.uint64) * np.uint64(QUARTERS + 1) + np.uint64(kind)) * _M3
+    x = (x ^ (x >> np.uint64(32))) * _M1
+    x = (x ^ (x >> np.uint64(29))) * _M2
+    return (x ^ (x >> np.uint64(32))).view(np.int64)
+
+
+class Parsed:
+    """The lines, sentences and leaves of a text, all at once.
+
+    The leaf of a stretch of tokens is a polynomial over their hashes, so sums up to each token give those of
+    all lines and sentences, and a variable quarter is taken out by one difference.
+    """
+
+    def __init__(self, text: bytes, least_field: int = LEAST_FIELD, least_sentence: int = LEAST_SENTENCE):
+        raw = np.frombuffer(text, np.uint8)
+        inside = np.concatenate(([False], _WORDS.inside[raw], [False]))
+        turns = np.flatnonzero(inside[1:] != inside[:-1])
+        self.starts, ends = turns[::2], turns[1::2]
+        self.breaks = np.flatnonzero(raw == 10)
+        line = np.searchsorted(self.breaks, self.starts)
+        hashes = _WORDS.hashes(text)
+        digit = np.add.reduceat(_DIGITS[raw], self.starts, dtype=np.int64) > 0 if len(hashes) else np.zeros(0, bool)
+        general = np.where(digit, _FIELD, hashes)
+        power, inverse = powers(len(hashes) + 1)
+        upto = lambda x: np.concatenate((np.zeros(1, x.dtype), np.cumsum(x, dtype=x.dtype)))
+        sums = [upto(x * power[: len(x)]) for x in (general, hashes)]
+        constant = upto((general != _FIELD).astype(np.int64))
+        new_line = np.concatenate((np.ones(min(1, len(line)), bool), line[1:] != line[:-1]))
+        new_sentence = new_line.copy()
+        new_sentence[1:] |= _ENDS[raw[ends[:-1] - 1]] if len(ends) else False
+
+        def leaves(at: np.ndarray, until: np.ndarray, quarters: bool) -> list[np.ndarray]:
+            """For each template the leaves of stretches of tokens; 0 where there is none."""
+            n, fixed = until - at, constant[until] - constant[at]
+            by = 2 * fixed >= n
+            between = lambda a, b: np.where(by, sums[0][b] - sums[0][a], sums[1][b] - sums[1][a])
+            whole = between(at, until)
+            found = [np.where(fixed > 0, _mixed(whole * inverse[at], n, 0), 0)]
+            for k in range(QUARTERS if quarters else 0):
+                low, high = (at + np.minimum(n, LEADING) + np.maximum(n - LEADING, 0) * x // QUARTERS for x in (k, k + 1))
+                leaf = _mixed((whole - between(low, high)) * inverse[at], n, k + 1)
+                found.append(np.where((fixed > 0) & (n >= least_field), leaf, 0))
+            return found
+
+        def edges(new: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            at = np.flatnonzero(new)
+            return at, np.concatenate((at[1:], [len(new)])) if len(at) else at
+
+        at, until = edges(new_line)
+        self.lines, self.line_leaves = line[at], leaves(at, until, True)
+        at, until = edges(new_sentence)
+        self.first, self.sentence_line = at, line[at]
+        several = np.bincount(self.sentence_line, minlength=len(self.breaks) + 1)[self.sentence_line] > 1 if len(at) else np.zeros(0, bool)
+        self.sentence_leaves = np.where(several & (until - at >= least_sentence), leaves(at, until, False)[0], 0)
+
+    def leaves(self) -> tuple[np.ndarray, np.ndarray]:
+        """Lines and leaves of all units."""
+        lines = np.concatenate([self.lines] * len(self.line_leaves) + [self.sentence_line])
+        found = np.concatenate([*self.line_leaves, self.sentence_leaves])
+        keep = found != 0
+        return lines[keep], found[keep]
 
 
 def leaves(line: bytes, least_field: int = LEAST_FIELD, least_sentence: int = LEAST_SENTENCE) -> list[int]:
     """The leaves of a line and of its sentences."""
-    parts = sentences(line)
-    own = [sentence_leaf(x, least_sentence) for x in parts] if len(parts) > 1 else []
-    return line_leaves(line, least_field) + [x for x in own if x is not None]
+    return Parsed(line, least_field, least_sentence).leaves()[1].tolist()
+
+
+def without(text: bytes, held: np.ndarray, least_field: int = LEAST_FIELD, least_sentence: int = LEAST_SENTENCE) -> tuple[bytes, int, int]:
+    """The text without units of the held leaves, how many lines went, and how many sentences of others."""
+    parsed = Parsed(text, least_field, least_sentence)
+    count = len(parsed.breaks) + 1
+    lost = np.zeros(count, bool)
+    lost[parsed.lines[np.any([np.isin(x, held) for x in parsed.line_leaves], axis=0)]] = True
+    cut = np.isin(parsed.sentence_leaves, held) & ~lost[parsed.sentence_line]
+    gone, have = (np.bincount(parsed.sentence_line[x], minlength=count) for x in (cut, slice(None)))
+    lost |= (gone > 0) & (gone == have)
+    cut &= ~lost[parsed.sentence_line]
+    begin, end = np.concatenate(([0], parsed.breaks + 1)), np.concatenate((parsed.breaks, [len(text)]))
+    pieces = []
+    trimmed = {}
+    for s in np.flatnonzero(cut):
+        trimmed.setdefault(int(parsed.sentence_line[s]), set()).add(int(s))
+    for i in np.flatnonzero(~lost).tolist():
+        if i not in trimmed:
+            pieces.append(text[begin[i] : end[i]])
+            continue
+        low, high = np.searchsorted(parsed.sentence_line, [i, i + 1])
+        at = [int(begin[i]), *parsed.starts[parsed.first[low + 1 : high]].tolist(), int(end[i])]
+        pieces.append(b"".join(text[a:b] for k, (a, b) in enumerate(zip(at, at[1:], strict=False), int(low)) if k not in trimmed[i]))
+    return b"\n".join(pieces), int(lost.sum()), int(cut.sum())
 
 
 def recurring(docs: DataFrame, least_documents: int = 2, least_field: int = LEAST_FIELD, least_sentence: int = LEAST_SENTENCE) -> DataFrame:
     """doc_id and leaf: the templates that a document has to drop."""
 
     def run(batches):
-        for b in batches:
-            owners, found = [], []
-            for doc_id, text in zip(b.column(0).to_pylist(), text_bytes(b.column(1)), strict=True):
-                own = {x for line in (text or b"").split(b"\n") for x in leaves(line, least_field, least_sentence)}
-                owners += [doc_id] * len(own)
-                found += own
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(owners, pa.int64())], names=["leaf", "doc_id"])
+        for b in sized_batches(batches):
+            texts = [t or b"" for t in text_bytes(b.column(1))]
+            first = np.cumsum([0, *(t.count(b"\n") + 1 for t in texts)])
+            lines, found = Parsed(b"\n".join(texts), least_field, least_sentence).leaves()
+            owner = np.searchsorted(first, lines, "right") - 1
+            order = np.lexsort((found, owner))
+            owner, found = owner[order], found[order]
+            new = np.concatenate((np.ones(min(1, len(found)), bool), (found[1:] != found[:-1]) | (owner[1:] != owner[:-1])))
+            yield pa.RecordBatch.from_arrays([pa.array(found[new]), b.column(0).take(pa.array(owner[new]))], names=["leaf", "doc_id"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
     rows = stored(rows.mapInArrow(run, "leaf long, doc_id long"), "leaves")
@@ -116,28 +171,15 @@ def drop_recurring(docs: DataFrame, least_documents: int = 2, least_field: int =
     names = [f.name for f in out]
     kinds = arrow_schema(out)
 
-    def left(line: bytes, held: set[int]) -> tuple[bytes | None, int]:
-        """What stays of a line (None: nothing), and how many sentences went."""
-        if held.intersection(line_leaves(line, least_field)):
-            return None, 0
-        parts = sentences(line)
-        stay = [x for x in parts if sentence_leaf(x, least_sentence) not in held] if len(parts) > 1 else parts
-        if len(stay) == len(parts):
-            return line, 0
-        return (b"".join(stay), len(parts) - len(stay)) if stay else (None, 0)
-
     def run(batches):
         for b in batches:
             texts, before, dropped, cut = [], [], [], []
             for text, gone in zip(text_bytes(b.column(b.schema.names.index("text"))), b.column(b.schema.names.index(found)).to_pylist(), strict=True):
-                lines = [] if text is None else text.split(b"\n")
-                held = set(gone or ())
-                kept = [left(x, held) for x in lines] if held else []
-                here = [x for x, _ in kept if x is not None]
-                texts.append(b"\n".join(here) if held else text)
-                before.append(len(lines))
-                dropped.append(len(kept) - len(here))
-                cut.append(sum(n for _, n in kept))
+                before.append(0 if text is None else text.count(b"\n") + 1)
+                kept, lines, parts = without(text, np.array(gone, np.int64), least_field, least_sentence) if gone and text is not None else (text, 0, 0)
+                texts.append(kept)
+                dropped.append(lines)
+                cut.append(parts)
             made = {"text": pa.array(texts, pa.binary()).cast(pa.string()), "n_lines": pa.array(before, pa.int64()), "n_dropped": pa.array(dropped, pa.int64()), "n_cut": pa.array(cut, pa.int64())}
             columns = [made[n] if n in made else b.column(b.schema.names.index(n)) for n in names]
             yield pa.RecordBatch.from_arrays([c.cast(kinds.field(i).type) if c.type != kinds.field(i).type else c for i, c in enumerate(columns)], names=names)

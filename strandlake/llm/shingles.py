@@ -19,8 +19,13 @@ _S1, _S2 = np.uint64(32), np.uint64(29)
 BLOCK = 1 << 17
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of the base and of its inverse."""
+_KEPT: list[np.ndarray] = []
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n or more powers of the base and of its inverse; those of a block are kept."""
+    if _KEPT and n <= BLOCK:
+        return _KEPT[0], _KEPT[1]
     found = []
     for base in (_BASE, pow(_BASE, -1, 1 << 64)):
         steps = np.full(n, base, np.uint64)
@@ -29,15 +34,16 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return found[0], found[1]
 
 
-_KEPT = _powers(BLOCK)
+_KEPT += powers(BLOCK)
 
 
 class Words:
-    """Hashes of the runs between separator bytes, A-Z taken as a-z."""
+    """Hashes of the runs between separator bytes, A-Z taken as a-z unless `fold` is off."""
 
-    def __init__(self, separators: bytes):
+    def __init__(self, separators: bytes, fold: bool = True):
         values = np.random.default_rng(20240607).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        values[ord("A") : ord("Z") + 1] = values[ord("a") : ord("z") + 1]
+        if fold:
+            values[ord("A") : ord("Z") + 1] = values[ord("a") : ord("z") + 1]
         self.inside = np.ones(256, bool)
         self.inside[list(separators)] = False
         self.values = np.where(self.inside, values, np.uint64(0))
@@ -49,7 +55,7 @@ class Words:
             starts = np.concatenate((np.zeros(1, np.int64), starts))
         if not len(starts):
             return np.zeros(0, np.uint64)
-        power, inverse = _KEPT if len(raw) <= BLOCK else _powers(len(raw))
+        power, inverse = powers(len(raw))
         return np.add.reduceat(self.values[raw] * power[: len(raw)], starts) * inverse[starts]
 
     def _blocks(self, raw: np.ndarray):

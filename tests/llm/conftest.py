@@ -46,5 +46,5 @@ def odd(spark, rows):
 
     more = [rows[0], rows[0], (rows[1][0], "another text of some words", "en", "s", 26), (None, "no id", "en", "s", 5)]
     df = spark.createDataFrame(rows[:6] + more, SCHEMA)
-    names = ("score", "n", "class_id", "component", "component_id", "shingle", "part", "segment", "start", "ids", "signature", "n_lines", "n_dropped", "rules", "leaf", "payload", "digest", "x", "a", "b", "_doc", "spans", "chunk", "quality")
+    names = ("score", "n", "class_id", "component", "component_id", "shingle", "part", "segment", "start", "ids", "signature", "n_lines", "n_dropped", "n_cut", "rules", "leaf", "payload", "digest", "x", "a", "b", "_doc", "spans", "chunk", "quality")
     return df.withColumns({n: F.lit("own") for n in names})
