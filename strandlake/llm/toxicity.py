@@ -8,10 +8,11 @@ the classifier from fitting the unlabelled texts by heart.  The prior is the inp
 toxic texts among all labelled rows that are not held out (`prior`).
 
 Training uses a bounded sample of the labelled rows (`most_positive`, `most_unlabelled`, chosen by a hash
-of doc_id): what reaches the driver doesn't grow with the input.  Scoring is one narrow pass over whole
-texts.  A null or empty text has no words and gets the score of the bias alone.  Without any toxic row in
-the training part every score is 0.  Extra columns are ignored; rows that repeat a doc_id are scored one
-by one.
+of doc_id): what reaches the driver doesn't grow with the input.  Nor does the vocabulary, the `most_features`
+words that most of the sample's texts have; rarer ones carry no weight.  Scoring is one narrow pass over
+whole texts.  A null or empty text has no words and gets the score of the bias alone.  Without any toxic
+row in the training part every score is that of a bias of -30 (below 1e-12).  Extra columns are ignored;
+rows that repeat a doc_id are scored one by one, and a row without a doc_id is scored and not held out.
 """
 
 from __future__ import annotations
@@ -45,7 +46,20 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
-def train(positive: list[Collection[bytes]], unlabelled: list[Collection[bytes]], prior: float = 0.13, least_df: int = 5, most_features: int = 1 << 16, epochs: int = 60, rate: float = 0.05, decay: float = 1e-3, seed: int = 7) -> Model:
+def gradient(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> tuple[np.ndarray, np.ndarray]:
+    """By margin, the direction of one step of the non-negative PU risk of the sigmoid loss.
+
+    The risk is prior * R(positive as positive) + [R(unlabelled as negative) - prior * R(positive as negative)];
+    where the bracket is below zero, the step raises the bracket instead.
+    """
+    p, u = (1 / (1 + np.exp(-np.clip(z, -30, 30))) for z in (positive, unlabelled))
+    dp, du = p * (1 - p) / len(p), u * (1 - u) / len(u)
+    if u.mean() - prior * p.mean() >= 0:
+        return -2 * prior * dp, du
+    return prior * dp, -du
+
+
+def train(positive: list[Collection[bytes]], unlabelled: list[Collection[bytes]], prior: float = 0.13, least_df: int = 5, most_features: int = 1 << 18, epochs: int = 60, rate: float = 0.05, decay: float = 1e-3, seed: int = 7) -> Model:
     """Minimise the non-negative PU risk of the sigmoid loss by Adam, in mini-batches."""
     if not positive or not unlabelled:
         return Model({}, -30.0)
@@ -83,10 +97,7 @@ def train(positive: list[Collection[bytes]], unlabelled: list[Collection[bytes]]
             if not len(p) or not len(u):
                 continue
             (pt, pr, pz), (ut, ur, uz) = margin(pw, pn, pat, p), margin(uw, un, uat, u)
-            ps_, us_ = 1 / (1 + np.exp(-np.clip(pz, -30, 30))), 1 / (1 + np.exp(-np.clip(uz, -30, 30)))
-            negative = us_.mean() - prior * ps_.mean()
-            gp, gu = ps_ * (1 - ps_) / len(p), us_ * (1 - us_) / len(u)
-            dp, du = (-prior * gp - prior * gp, gu) if negative >= 0 else (prior * gp, -gu)
+            dp, du = gradient(pz, uz, prior)
             grad = np.zeros(len(vocabulary) + 1)
             grad[:-1] = (np.bincount(pt, dp[pr] * scale[pt], len(vocabulary)) + np.bincount(ut, du[ur] * scale[ut], len(vocabulary))) + decay * theta / len(vocabulary)
             grad[-1] = dp.sum() + du.sum()
@@ -101,7 +112,7 @@ def train(positive: list[Collection[bytes]], unlabelled: list[Collection[bytes]]
 
 
 def held_out(doc_id: Column) -> Column:
-    return F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
 def prior(labels: DataFrame) -> float:
