@@ -21,6 +21,7 @@ read one by one.  Extra columns are ignored.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from dataclasses import dataclass
 
 import numpy as np
@@ -256,7 +257,7 @@ class Network:
         self._back(x, "b", keep_b, dboth[:, :, size:], grad)
         return (z.sum() - gold) / total, grad
 
-    def fit(self, x, y, m, epochs: int = 14, batch: int = 48, rate: float = 0.02, seed: int = 5) -> list[float]:
+    def fit(self, x, y, m, epochs: int = 20, batch: int = 48, rate: float = 0.02, seed: int = 5) -> list[float]:
         rng = np.random.default_rng(seed)
         first = {k: np.zeros_like(v) for k, v in self.p.items()}
         second = {k: np.zeros_like(v) for k, v in self.p.items()}
@@ -329,7 +330,13 @@ def spans_of(labels: np.ndarray) -> list[tuple[str, int, int]]:
 def _written(rng) -> tuple[str, str]:
     """A span in a format that the patterns may not know, with its kind; "O" for numbers that are none."""
     d = lambda n: "".join(map(str, rng.integers(0, 10, n)))
-    w = lambda: "".join(chr(97 + int(c)) for c in rng.integers(0, 26, rng.integers(3, 9)))
+
+    def w() -> str:
+        word = "".join(chr(97 + int(c)) for c in rng.integers(0, 26, rng.integers(3, 9)))
+        return word.title() if rng.integers(0, 4) == 0 else word
+
+    def name() -> str:
+        return [w, lambda: f"{w()}.{w()}", lambda: f"{w()}{d(2)}"][rng.integers(0, 3)]()
 
     def card(n, sep):
         body = d(n - 1)
@@ -345,7 +352,7 @@ def _written(rng) -> tuple[str, str]:
     if kind == 2:
         return "phone", f"+{d(1)} ({d(3)}) {d(3)}-{d(4)}"
     if kind == 3:
-        return "email", f"{w()}{'.' * int(rng.integers(0, 2))}{w()} @ {w()}.{w()[:3]}"
+        return "email", f"{name()} @ {w()}.{w()[:3]}"
     if kind == 4:
         return "email", f"{w()}.{d(2)}@{w()}.{w()}.com"
     if kind == 5:
@@ -357,9 +364,9 @@ def _written(rng) -> tuple[str, str]:
     if kind == 8:
         return "O", f"{d(3)},{d(3)},{d(3)}.{d(2)}"
     if kind == 9:
-        at, dot = [("(at)", "."), ("[at]", "."), ("(at)", "(dot)")][rng.integers(0, 3)]
+        at, dot = [("(at)", "."), ("[at]", "."), ("(at)", "(dot)"), ("[at]", "[dot]")][rng.integers(0, 4)]
         gap = " " * int(rng.integers(0, 2))
-        return "email", f"{w()}.{w()}{gap}{at}{gap}{w()}{gap if dot != '.' else ''}{dot}{gap if dot != '.' else ''}{w()[:3]}"
+        return "email", f"{name()}{gap}{at}{gap}{w()}{gap if dot != '.' else ''}{dot}{gap if dot != '.' else ''}{w()[:3]}"
     n = lambda low: str(rng.integers(low, 10))
     sep = "- "[rng.integers(0, 2)]
     if kind == 10:
@@ -367,17 +374,21 @@ def _written(rng) -> tuple[str, str]:
     return "phone", [f"0{n(1)}{d(1)} {d(7)}", f"0{n(1)}{d(2)}{'/- '[rng.integers(0, 3)]}{d(6)}", f"02{d(1)} {d(4)} {d(4)}", f"0{n(1)}{d(2)} {d(3)} {d(4)}", f"0{n(1)}{d(3)} {d(6)}"][rng.integers(0, 5)]
 
 
-def examples(texts: list[str], written: int = 900, seed: int = 11):
-    """x, y, m of training windows: base spans where they stand, and written spans put between words."""
+def examples(texts: list[str], written: int = 1600, seed: int = 11, spans_each: int = 8):
+    """x, y, m of training windows: base spans where they stand, and written spans put between words.
+
+    Of a text with more base spans `spans_each` are drawn.
+    """
     rng = np.random.default_rng(seed)
     made: list[tuple[str, list[tuple[str, int, int]]]] = []
     contexts = []
     for t in texts:
         spans = base_spans(t)
-        for _, s, _e in spans[:4]:
+        drawn = rng.permutation(len(spans))[:spans_each] if len(spans) > spans_each else range(len(spans))
+        for _, s, _e in (spans[k] for k in drawn):
             at = max(0, s - int(rng.integers(4, 32)))
             made.append((t[at : at + WINDOW], [(k, a - at, min(b - at, WINDOW)) for k, a, b in spans if a >= at and a - at < WINDOW]))
-        blanks = [m.start() for m in re.finditer(" ", t[:4000])]
+        blanks = [m.start() for m in re.finditer(" ", t)]
         if blanks:
             contexts.append((t, blanks))
     for _ in range(written if contexts else 0):
@@ -398,7 +409,7 @@ def examples(texts: list[str], written: int = 900, seed: int = 11):
     return x, y, m
 
 
-def train(docs: DataFrame, most_texts: int = 400, longest: int = 20_000, written: int = 900, seed: int = 3) -> Network:
+def train(docs: DataFrame, most_texts: int = 400, longest: int = 20_000, written: int = 1600, seed: int = 3) -> Network:
     """Fit on at most `most_texts` texts of at most `longest` code points that hold a digit or @, chosen by a hash."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.col("text").rlike("@|\\+[0-9]|[0-9]{10}")).where(F.length("text") <= longest)
     texts = [r.text for r in hashed_sample(rows, "doc_id", most_texts).select("text").collect()]
@@ -409,17 +420,39 @@ def train(docs: DataFrame, most_texts: int = 400, longest: int = 20_000, written
     return net
 
 
+class _Taken:
+    """Disjoint stretches of a text in order; each question is a bisection."""
+
+    def __init__(self, spans):
+        self.starts, self.ends = [], []
+        for a, b in sorted(spans):
+            if self.ends and a < self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], b)
+            else:
+                self.starts.append(a)
+                self.ends.append(b)
+
+    def add(self, a: int, b: int) -> bool:
+        """Take [a, b) if it touches nothing that is taken."""
+        k = bisect_right(self.starts, a)
+        if k and self.ends[k - 1] > a or k < len(self.starts) and self.starts[k] < b:
+            return False
+        self.starts.insert(k, a)
+        self.ends.insert(k, b)
+        return True
+
+
 def find(text: str, net: Network) -> tuple[list, list]:
     """(base, all) spans of a text; all are in the order of kinds, then starts."""
     base = base_spans(text)
     parts = list(clusters(text))
     if not parts:
         return base, base
-    found = list(base)
+    found, taken = list(base), _Taken((y, z) for _, y, z in base)
     for (s, _e), spans in zip(parts, net.read([text[s:e] for s, e in parts]), strict=True):
         for kind, a, b in spans:
             a, b = s + a, s + b
-            if plausible(kind, text[a:b]) and not any(a < z and y < b for _, y, z in found):
+            if plausible(kind, text[a:b]) and taken.add(a, b):
                 found.append((kind, a, b))
     return base, sorted(found, key=lambda x: (KINDS.index(x[0]), x[1]))
 

@@ -67,6 +67,48 @@ def test_risk_correction_keeps_the_prior():
     assert model.score(b"so bad") > 0.7 > 0.3 > model.score(b"so good")
 
 
+def test_step_follows_the_risk():
+    """The direction against differences of the risk, written out, in both of its cases."""
+    rng = np.random.default_rng(3)
+    loss = lambda z: 1 / (1 + np.exp(z))
+    bracket = lambda p, u, prior: loss(-u).mean() - prior * loss(-p).mean()
+    cases = set()
+    for shift in (-3, 0):
+        p, u, prior = rng.normal(1, 1, 7), rng.normal(shift, 1, 11), 0.3
+        if bracket(p, u, prior) >= 0:
+            goal = lambda p, u: prior * loss(p).mean() + bracket(p, u, prior)  # noqa: B023, E731
+        else:
+            goal = lambda p, u: -bracket(p, u, prior)  # noqa: B023, E731
+        cases.add(bracket(p, u, prior) >= 0)
+        dp, du = toxicity.gradient(p, u, prior)
+        for z, d, f in ((p, dp, lambda z: goal(z, u)), (u, du, lambda z: goal(p, z))):  # noqa: B023
+            for k in range(len(z)):
+                step = np.zeros(len(z))
+                step[k] = 1e-5
+                assert d[k] == pytest.approx((f(z + step) - f(z - step)) / 2e-5, rel=1e-4)
+    assert cases == {True, False}
+
+
+def test_held_out_recall_on_the_tables(spark):
+    """Toxic texts that weren't trained on, at sf0.1: those missed mostly have no word that tells."""
+    import os
+
+    from strandlake.llm.queries import QUERIES
+
+    sf = "/root/testdata/sf0.1"
+    if not os.path.isdir(sf):
+        pytest.skip("the driver's tables aren't here")
+    rows = QUERIES["op1_toxicity"](spark, sf).where("held_out").join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").select("predicted", "toxic").collect()
+    caught, wrong = [r.predicted for r in rows if r.toxic == 1], [r.predicted for r in rows if r.toxic == 0]
+    assert sum(caught) >= 0.85 * len(caught) and sum(wrong) <= 0.01 * len(wrong)
+
+
+def test_rows_without_an_id_are_scored(spark, labelled):
+    df = spark.createDataFrame([(None, "vile rotten filthy nasty"), (1, None)], "doc_id long, text string")
+    scored = toxicity.score(df, toxicity.train(*toxicity.sample(*labelled))).withColumn("held_out", toxicity.held_out(F.col("doc_id")))
+    assert sorted((r.doc_id is None, r.held_out) for r in scored.collect()) == [(False, False), (True, False)]
+
+
 @pytest.mark.parametrize("share", [0.02, 0.13, 0.4])
 def test_toxicity_at_other_shares(spark, tmp_path, share):
     """op1 takes the class prior from the labels, so a table rich in toxic texts keeps its recall."""
@@ -193,6 +235,54 @@ def test_national_numbers_and_written_at(filled):
     assert sum(found.values()) >= 0.7 * len(found), found
 
 
+def test_recall_of_formats_that_training_never_wrote(filled):
+    """Spans of withheld formats in texts that weren't trained on: nine of ten are found, and numbers that are none stay."""
+    rng = np.random.default_rng(5)
+    d = lambda n: "".join(map(str, rng.integers(0, 10, n)))
+    w = lambda: "".join(chr(97 + int(c)) for c in rng.integers(0, 26, rng.integers(3, 9)))
+
+    def card(groups):
+        body = d(sum(groups) - 1)
+        digits = next(body + str(c) for c in range(10) if pii.luhn(body + str(c)))
+        at = np.concatenate(([0], np.cumsum(groups)))
+        return " ".join(digits[a:b] for a, b in zip(at[:-1], at[1:], strict=True))
+
+    forms = {
+        "glued area code": lambda: ("phone", f"({d(3)}){d(3)}-{d(4)}"),
+        "mixed separators": lambda: ("phone", f"{d(3)} {d(3)}.{d(4)}"),
+        "4-6-5": lambda: ("card", card((4, 6, 5))),
+        "4-6-4": lambda: ("card", card((4, 6, 4))),
+        "mixed brackets": lambda: ("email", f"{w()}.{w()} [at] {w()} (dot) com"),
+        "two domains": lambda: ("email", f"{w()}.{w()} @ {w()}.{w()}.org"),
+        "none": lambda: ("O", f"{d(2)}.{d(2)}.{d(4)} {d(2)}:{d(2)} {d(3)}"),
+    }
+    net = pii.train(filled)
+    found = dict.fromkeys(forms, 0)
+    for name, form in forms.items():
+        for _ in range(50):
+            kind, s = form()
+            before = " ".join(w() for _ in range(6)) + " "
+            text = before + s + " " + " ".join(w() for _ in range(6))
+            base, full = pii.find(text, net)
+            added = [x for x in full if x not in base]
+            found[name] += added == ([] if kind == "O" else [(kind, len(before), len(before) + len(s))])
+    assert sum(found.values()) >= 0.9 * 50 * len(found), found
+
+
+def test_taken_is_a_bisection():
+    rng = random.Random(2)
+    for _ in range(200):
+        spans = [(a, a + rng.randrange(1, 6)) for a in (rng.randrange(60) for _ in range(rng.randrange(6)))]
+        taken = pii._Taken(spans)
+        for _ in range(12):
+            a = rng.randrange(60)
+            b = a + rng.randrange(1, 6)
+            free = not any(a < z and y < b for y, z in spans)
+            assert taken.add(a, b) == free
+            if free:
+                spans.append((a, b))
+
+
 def test_long_clusters_decode_as_one(filled):
     """A cluster of many windows: spans don't overlap and lie in the text, whatever the windows' edges."""
     net = pii.train(filled)
