@@ -32,12 +32,12 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Recurring lines go from all documents but the first; documents of which nothing is left go too."""
+    """Recurring lines and sentences go from all documents but the first; documents of which nothing is left go too."""
     small_batches(spark)
     names = docs.columns
-    kept = {n: unused(docs, n + "_kept") for n in ("n_lines", "n_dropped") if n in names}
+    kept = {n: unused(docs, n + "_kept") for n in ("n_lines", "n_dropped", "n_cut") if n in names}
     out = line_templates.drop_recurring(docs.withColumnsRenamed(kept))
-    out = out.where("n_lines = 0 or n_dropped < n_lines").drop("n_lines", "n_dropped").withColumnsRenamed({b: a for a, b in kept.items()})
+    out = out.where("n_lines = 0 or n_dropped < n_lines").drop("n_lines", "n_dropped", "n_cut").withColumnsRenamed({b: a for a, b in kept.items()})
     if "n_chars" in names:
         out = out.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"]))
     return out.select(*names)
