@@ -112,29 +112,50 @@ def leaves(line: bytes, least_field: int = LEAST_FIELD, least_sentence: int = LE
     return Parsed(line, least_field, least_sentence).leaves()[1].tolist()
 
 
-def without(text: bytes, held: np.ndarray, least_field: int = LEAST_FIELD, least_sentence: int = LEAST_SENTENCE) -> tuple[bytes, int, int]:
-    """The text without units of the held leaves, how many lines went, and how many sentences of others."""
-    parsed = Parsed(text, least_field, least_sentence)
-    count = len(parsed.breaks) + 1
-    lost = np.zeros(count, bool)
-    lost[parsed.lines[np.any([np.isin(x, held) for x in parsed.line_leaves], axis=0)]] = True
-    cut = np.isin(parsed.sentence_leaves, held) & ~lost[parsed.sentence_line]
-    gone, have = (np.bincount(parsed.sentence_line[x], minlength=count) for x in (cut, slice(None)))
+def _owned(found: np.ndarray, owner: np.ndarray | int) -> np.ndarray:
+    """A leaf and the text it is held for in one number."""
+    return found.view(np.uint64) ^ (np.asarray(owner).astype(np.uint64) + np.uint64(1)) * _M3
+
+
+def without(texts: list[bytes], held: list[np.ndarray], least_field: int = LEAST_FIELD, least_sentence: int = LEAST_SENTENCE) -> list[tuple[bytes, int, int]]:
+    """Each text without units of its held leaves, how many lines went, and how many sentences of others."""
+    if not texts:
+        return []
+    whole = b"\n".join(texts)
+    parsed = Parsed(whole, least_field, least_sentence)
+    first = np.cumsum([0, *(t.count(b"\n") + 1 for t in texts)])
+    total = int(first[-1])
+    owner = np.repeat(np.arange(len(texts)), np.diff(first))
+    known = np.unique(np.concatenate([_owned(h, i) for i, h in enumerate(held)]))
+    has = lambda found, lines: (found != 0) & np.isin(_owned(found, owner[lines]), known)
+    lost = np.zeros(total, bool)
+    for x in parsed.line_leaves:
+        lost[parsed.lines[has(x, parsed.lines)]] = True
+    cut = has(parsed.sentence_leaves, parsed.sentence_line) & ~lost[parsed.sentence_line]
+    gone, have = (np.bincount(parsed.sentence_line[x], minlength=total) for x in (cut, slice(None)))
     lost |= (gone > 0) & (gone == have)
     cut &= ~lost[parsed.sentence_line]
-    begin, end = np.concatenate(([0], parsed.breaks + 1)), np.concatenate((parsed.breaks, [len(text)]))
-    pieces = []
-    trimmed = {}
-    for s in np.flatnonzero(cut):
-        trimmed.setdefault(int(parsed.sentence_line[s]), set()).add(int(s))
-    for i in np.flatnonzero(~lost).tolist():
+    begin, end = np.concatenate(([0], parsed.breaks + 1)).tolist(), np.concatenate((parsed.breaks, [len(whole)])).tolist()
+    trimmed: dict[int, set[int]] = {}
+    for s in np.flatnonzero(cut).tolist():
+        trimmed.setdefault(int(parsed.sentence_line[s]), set()).add(s)
+
+    def line(i: int) -> bytes:
         if i not in trimmed:
-            pieces.append(text[begin[i] : end[i]])
-            continue
+            return whole[begin[i] : end[i]]
         low, high = np.searchsorted(parsed.sentence_line, [i, i + 1])
-        at = [int(begin[i]), *parsed.starts[parsed.first[low + 1 : high]].tolist(), int(end[i])]
-        pieces.append(b"".join(text[a:b] for k, (a, b) in enumerate(zip(at, at[1:], strict=False), int(low)) if k not in trimmed[i]))
-    return b"\n".join(pieces), int(lost.sum()), int(cut.sum())
+        at = [begin[i], *parsed.starts[parsed.first[low + 1 : high]].tolist(), end[i]]
+        return b"".join(whole[a:b] for k, (a, b) in enumerate(zip(at, at[1:], strict=False), int(low)) if k not in trimmed[i])
+
+    dropped = np.bincount(owner[lost], minlength=len(texts)).tolist()
+    parts = np.bincount(owner[parsed.sentence_line[cut]], minlength=len(texts)).tolist()
+    out = []
+    for i, text in enumerate(texts):
+        if dropped[i] or parts[i]:
+            a, b = int(first[i]), int(first[i + 1])
+            text = b"\n".join(map(line, (np.flatnonzero(~lost[a:b]) + a).tolist()))
+        out.append((text, dropped[i], parts[i]))
+    return out
 
 
 def recurring(docs: DataFrame, least_documents: int = 2, least_field: int = LEAST_FIELD, least_sentence: int = LEAST_SENTENCE) -> DataFrame:
@@ -172,16 +193,18 @@ def drop_recurring(docs: DataFrame, least_documents: int = 2, least_field: int =
     kinds = arrow_schema(out)
 
     def run(batches):
-        for b in batches:
-            texts, before, dropped, cut = [], [], [], []
-            for text, gone in zip(text_bytes(b.column(b.schema.names.index("text"))), b.column(b.schema.names.index(found)).to_pylist(), strict=True):
-                before.append(0 if text is None else text.count(b"\n") + 1)
-                kept, lines, parts = without(text, np.array(gone, np.int64), least_field, least_sentence) if gone and text is not None else (text, 0, 0)
-                texts.append(kept)
-                dropped.append(lines)
-                cut.append(parts)
+        for b in sized_batches(batches, names_in.index("text")):
+            texts = text_bytes(b.column(names_in.index("text")))
+            held = b.column(names_in.index(found)).to_pylist()
+            before = [0 if t is None else t.count(b"\n") + 1 for t in texts]
+            dropped, cut = [0] * len(texts), [0] * len(texts)
+            at = [i for i, t in enumerate(texts) if t is not None and held[i]]
+            for i, (text, lines, parts) in zip(at, without([texts[i] for i in at], [np.array(held[i], np.int64) for i in at], least_field, least_sentence), strict=True):
+                texts[i], dropped[i], cut[i] = text, lines, parts
             made = {"text": pa.array(texts, pa.binary()).cast(pa.string()), "n_lines": pa.array(before, pa.int64()), "n_dropped": pa.array(dropped, pa.int64()), "n_cut": pa.array(cut, pa.int64())}
-            columns = [made[n] if n in made else b.column(b.schema.names.index(n)) for n in names]
+            columns = [made[n] if n in made else b.column(names_in.index(n)) for n in names]
             yield pa.RecordBatch.from_arrays([c.cast(kinds.field(i).type) if c.type != kinds.field(i).type else c for i, c in enumerate(columns)], names=names)
 
-    return joined.withColumn("text", F.col("text").cast("string")).mapInArrow(run, out)
+    joined = joined.withColumn("text", F.col("text").cast("string"))
+    names_in = joined.columns
+    return joined.mapInArrow(run, out)
