@@ -26,12 +26,12 @@ class Usage(ValueError):
     """Arguments that don't go together."""
 
 
-def session(threads: int | None) -> SparkSession:
+def session(threads: int | None, progress: bool = False) -> SparkSession:
     n = threads if threads else min(os.cpu_count() or 1, 10)
     active = SparkSession.getActiveSession()
     if active:
         return active
-    spark = SparkSession.builder.master(f"local[{n}]").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").config("spark.sql.shuffle.partitions", str(n)).config("spark.sql.session.timeZone", "UTC").getOrCreate()
+    spark = SparkSession.builder.master(f"local[{n}]").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", str(progress).lower()).config("spark.sql.shuffle.partitions", str(n)).config("spark.sql.session.timeZone", "UTC").getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 
@@ -49,7 +49,7 @@ class Job:
     """What commands share: arguments, session, reading and writing."""
 
     def __init__(self, args: argparse.Namespace):
-        self.args, self.spark = args, session(args.threads)
+        self.args, self.spark = args, session(args.threads, getattr(args, "progress", False) and not args.quiet)
         self.format = ""
 
     def read(self, path: str | None, **options) -> DataFrame:

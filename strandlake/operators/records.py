@@ -81,7 +81,11 @@ def invalid_records(df: DataFrame) -> DataFrame:
 
 def names(df: DataFrame, full: bool = False) -> DataFrame:
     """ord and name: the id, or the id and the description."""
-    return df.select("ord", (X.full_name(F.col("id"), F.col("desc")) if full else F.col("id")).alias("name"))
+    return df.select("ord", name(full).alias("name"))
+
+
+def name(full: bool = False) -> Column:
+    return X.full_name(F.col("id"), F.col("desc")) if full else F.col("id")
 
 
 def fq2fa(df: DataFrame) -> DataFrame:

@@ -40,10 +40,14 @@ def matches(patterns, by: str = "id", regex: bool = False, ignore_case: bool = F
     patterns = checked_patterns(patterns)
     target = _target(by, mate)
     if regex:
+        if len(patterns) > MOST_INLINE:
+            return F.coalesce(F.exists(F.array(*(F.lit(X.jvm_pattern(p, ignore_case)) for p in patterns)), lambda p: F.rlike(target, p)), F.lit(False))
         found = [target.rlike(X.jvm_pattern(p, ignore_case)) for p in patterns]
     else:
         if ignore_case:
             target, patterns = X.ascii_lower(target), [p.translate(str.maketrans(X.UPPER, X.LOWER)) for p in patterns]
+        if by != "id" and len(patterns) > MOST_INLINE:  # one small expression, however many there are
+            return F.coalesce(F.exists(F.array(*map(F.lit, patterns)), lambda p: F.contains(target, p)), F.lit(False))
         found = [target.isin(*patterns)] if by == "id" else [F.contains(target, F.lit(p)) for p in patterns]
     return F.coalesce(reduce(lambda a, b: a | b, found), F.lit(False))
 
@@ -70,6 +74,16 @@ def grep_pairs(pairs: DataFrame, patterns, by: str = "id", regex: bool = False,
     """Pairs of which any mate, or both, match; invert is applied to the pair's result."""
     if pair_mode not in ("any", "both"):
         raise ValueError("pair_mode is any or both")
+    if by == "id" and not regex and not isinstance(patterns, str) and len(patterns) > MOST_INLINE:
+        low = X.ascii_lower if ignore_case else (lambda c: c)
+        keys = pairs.sparkSession.createDataFrame([(p,) for p in checked_patterns(patterns)], "pattern string").select(low(F.col("pattern")).alias("_key")).distinct()
+        named = pairs
+        for m in "12":
+            side = keys.select(F.col("_key").alias(f"_key{m}"))
+            named = named.join(side, low(F.col(f"id{m}")) == F.col(f"_key{m}"), "left")
+        one, two = (F.col(f"_key{m}").isNotNull() for m in "12")
+        found = one | two if pair_mode == "any" else one & two
+        return named.where(~found if invert else found).select(*pairs.columns)
     one, two = (matches(patterns, by, regex, ignore_case, m) for m in "12")
     found = one | two if pair_mode == "any" else one & two
     return pairs.where(~found if invert else found)

@@ -12,6 +12,7 @@ from .. import sources
 from ..model import half_mates, letters, reads, turn_mates, with_position
 from ..operators import duplicates, order, pairs, records, rename, sampling, search, stats
 from . import adapters_sql as A
+from . import report
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -149,8 +150,7 @@ def seq_validate(spark, sf_dir):
 
 @query(f"""SELECT ord, id, id || ' ' || "desc" AS name FROM {R}""")
 def seq_names(spark, sf_dir):
-    df = reads(spark, sf_dir)
-    return records.names(df, full=True).join(df.select("ord", "id"), "ord").select("ord", "id", "name")
+    return reads(spark, sf_dir).select("ord", "id", records.name(full=True).alias("name"))
 
 
 @query(f"SELECT ord, id, md5(seq) AS seq_md5, NULL::VARCHAR AS qual_md5 FROM {R}")
@@ -161,15 +161,8 @@ def fq2fa(spark, sf_dir):
 _COLOUR = "CASE upper(x) WHEN 'A' THEN '32' WHEN 'C' THEN '34' WHEN 'G' THEN '33' WHEN 'T' THEN '31' WHEN 'U' THEN '31' ELSE '37' END"
 
 
-@query(f"SELECT ord, md5(coalesce(list_aggregate(list_transform(list_filter(string_split(seq, ''), lambda x: x <> ''), lambda x: chr(27) || '[' || {_COLOUR} || 'm' || x || chr(27) || '[0m'), 'string_agg', ''), '')) AS colour_md5 FROM {R} WHERE length(seq) <= 1000")
+@query(f"SELECT ord, md5(coalesce(list_aggregate(list_transform(list_filter(string_split(seq, ''), lambda x: x <> ''), lambda x: chr(27) || '[' || {_COLOUR} || 'm' || x || chr(27) || '[0m'), 'string_agg', ''), '')) AS colour_md5 FROM {R}")
 def seq_colour(spark, sf_dir):
-    df = records.seq(reads(spark, sf_dir), max_len=1000)
-    return df.select("ord", F.md5(X.coloured(F.col("seq")).cast("binary")).alias("colour_md5"))
-
-
-@query(ORACLES["seq_colour"].removesuffix(" WHERE length(seq) <= 1000"))
-def seq_colour_all(spark, sf_dir):
-    """seq_colour without its bound on the length: every record, the long ones too."""
     return reads(spark, sf_dir).select("ord", F.md5(X.coloured(F.col("seq")).cast("binary")).alias("colour_md5"))
 
 
@@ -363,14 +356,14 @@ _Z = f"({A.zipped()})"
 _PAIR_DIGEST = "md5(seq1) AS seq1_md5, md5(seq2) AS seq2_md5"
 
 
-def pair_digest(df: DataFrame) -> DataFrame:
-    return df.select("ord", "id1", "id2", *(F.md5(F.col(c).cast("binary")).alias(f"{c}_md5") for c in ("seq1", "seq2")))
+def pair_digest(df: DataFrame, *more: str) -> DataFrame:
+    return df.select("ord", "id1", "id2", *more, *(F.md5(F.col(c).cast("binary")).alias(f"{c}_md5") for c in ("seq1", "seq2")))
 
 
 @query(f"SELECT ord, id1, id2, status, {_PAIR_DIGEST} FROM {_Z}")
 def pair_zip(spark, sf_dir):
     z = pairs.zip_mates(*turn_mates(spark, sf_dir))
-    return pair_digest(z).join(z.select("ord", "status"), "ord").select("ord", "id1", "id2", "status", "seq1_md5", "seq2_md5")
+    return pair_digest(z, "status").select("ord", "id1", "id2", "status", "seq1_md5", "seq2_md5")
 
 
 @query(f"SELECT status, count(*)::BIGINT AS n FROM {_Z} GROUP BY status")
@@ -469,14 +462,62 @@ def fastq_gz_scan(spark, sf_dir):
     return fields(sources.read_fastx(spark, path, "fastq"))
 
 
-@query(f"SELECT id, md5(seq) AS seq_md5, md5(CASE WHEN qual <> '*' THEN qual END) AS qual_md5 FROM {R} WHERE seq <> ''")
+@query(_FIELDS)
+def fastq_text_scan(spark, sf_dir):
+    path = sources.scratch(spark, "fastq-text")
+    sources.write_fastx(reads(spark, sf_dir), path, "fastq")
+    return fields(sources.read_fastq_text(spark, path))
+
+
+_ALIGNED = f"SELECT id, md5(seq) AS seq_md5, md5(CASE WHEN {{}} THEN qual END) AS qual_md5 FROM {R}"
+
+
+@query(_ALIGNED.format("seq <> '' AND qual <> '*'"))
 def sam_scan(spark, sf_dir):
+    """A star stands for an empty sequence, and for qualities that are missing."""
     path = sources.scratch(spark, "sam")
-    line = F.concat_ws("\t", "id", *(F.lit(x) for x in "4 * 0 0 * * 0 0".split()), "seq", "qual")
-    reads(spark, sf_dir).where("seq <> ''").select(line.alias("value")).write.text(path)
+    cells = (F.when(F.col(c) == "", "*").otherwise(F.col(c)) for c in ("seq", "qual"))
+    line = F.concat_ws("\t", "id", *(F.lit(x) for x in "4 * 0 0 * * 0 0".split()), *cells)
+    reads(spark, sf_dir).select(line.alias("value")).write.text(path)
     return fields(sources.read_sam(spark, path)).drop("desc")
 
 
+@query(_ALIGNED.format("seq <> ''"))
+def bam_scan(spark, sf_dir):
+    path = sources.scratch(spark, "bam")
+    sources.write_bam(reads(spark, sf_dir), path)
+    return fields(sources.read_fastx(spark, path, alignments=True)).drop("desc")
+
+
+_TSV = "concat_ws(chr(9), file, format, seq_type, records, total_bases, min_len, max_len, printf('%.3f', mean_len), printf('%.3f', gc_pct), n50)"
+
+
+@query(f"SELECT 0::BIGINT AS line, {chr(39)}{chr(9).join(report.TITLES.get(c, c) for c in report.BASIC)}{chr(39)} AS text UNION ALL SELECT row_number() OVER (ORDER BY file), {_TSV} FROM ({_stats_sql(_BY_LANG, False)})")
+def stats_tsv(spark, sf_dir):
+    """The lines of the tab-separated report, files in order of their names."""
+    rows = [r.asDict() for r in stats.stats(_by_lang(spark, sf_dir), quality=False).orderBy("file").collect()]
+    return spark.createDataFrame(list(enumerate(report.tsv(rows).splitlines())), "line long, text string")
+
+
+@query(f"SELECT ord, id, id || ' ' || \"desc\" AS header FROM {R}")
+def raw_headers(spark, sf_dir):
+    """Whole header lines as ids."""
+    path = sources.scratch(spark, "raw")
+    sources.write_fastx(reads(spark, sf_dir), path, "fasta")
+    found = sources.read_fastx(spark, path, "fasta", raw_header=True, columns=("id",))
+    name = F.split("id", " ")[0]
+    return found.select(F.substring(name, 2, 20).cast("long").alias("ord"), name.alias("id"), F.col("id").alias("header"))
+
+
+@query(f"SELECT ord, id FROM {R} WHERE id NOT IN (SELECT 'd' || doc_id FROM labels WHERE quality = 0)")
+def grep_pattern_file(spark, sf_dir):
+    """Ids of a pattern file, blank lines and blanks around them left out."""
+    path = sources.scratch(spark, "patterns")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 0")
+    labels.select(F.concat(F.lit(" d"), F.col("doc_id"), F.lit(" \n")).alias("value")).write.text(path)
+    return search.grep(reads(spark, sf_dir), sources.read_patterns(spark, path), invert=True).select("ord", "id")
+
+
 # A filter and a sort in one plan.
 
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import glob
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -28,9 +29,15 @@ _BATCH_BYTES = 4 << 20
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the session's shared folder; where none is set, in a folder made for this session."""
+    """A fresh path in the session's shared folder; where none is set, on one machine, in a folder made for it.
+
+    On a cluster a folder of the driver's would be no other machine's, so there a missing setting is an error.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        master = spark.sparkContext.master
+        if not re.match(r"local(\[|$)", master):
+            raise ValueError(f"spark.checkpoint.dir has to name a shared folder on {master}")
         base = tempfile.mkdtemp(prefix="strandlake-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -149,9 +156,12 @@ class _Writer(DataSourceWriter):
 
         context = TaskContext.get()
         os.makedirs(self.path, exist_ok=True)
-        end = {"fasta": "fa", "fastq": "fq"}[self.format] + {"none": "", "gz": ".gz", "xz": ".xz"}[self.codec]
+        end = {"fasta": "fa", "fastq": "fq", "bam": "bam"}[self.format] + {"none": "", "gz": ".gz", "xz": ".xz"}[self.codec]
         name = f"{self.path}/.part-{context.partitionId():05d}-{self.run}-{context.attemptNumber()}.{end}"
         with open_writer(name, self.codec) as f:
+            if self.format == "bam":
+                parsing.write_bam(f, ((r.id, r.seq, r.qual) for r in rows))
+                return _Part(name)
             for r in rows:
                 f.write(render(self.format, r.id, r.desc, r.seq, r.qual).encode("utf-8") if (r.seq or "").isascii() else render_bytes(self.format, r.id, r.desc, r.seq, r.qual))
         return _Part(name)
@@ -242,6 +252,24 @@ def read_fasta_text(spark: SparkSession, paths) -> DataFrame:
     return rows.select("file", "ord", header_id(head).alias("id"), header_desc(head).alias("desc"), body.alias("seq"), F.lit(None).cast("string").alias("qual"))
 
 
+def read_fastq_text(spark: SparkSession, paths) -> DataFrame:
+    """FASTQ records of four lines each by Spark's text reader: plain files are split, any file system works.
+
+    Lines are numbered by file and the four of a record are brought together by one shuffle.  Blank lines may
+    only end a file.
+    """
+    rows = _numbered(_lines(spark.read.option("lineSep", "\n").text(paths)).withColumn("at", F.monotonically_increasing_id()))
+    line = F.struct(F.pmod("ord", F.lit(4)).alias("k"), F.regexp_replace("value", "\\r+\\z", "").alias("v"))
+    whole = rows.groupBy("file", F.floor(F.col("ord") / 4).alias("place")).agg(F.transform(F.array_sort(F.collect_list(line)), lambda x: x["v"]).alias("f"))
+    whole = whole.where(F.exists("f", lambda v: v != ""))
+    head, seq, plus, qual = (F.get("f", F.lit(i)) for i in range(4))
+    fine = F.coalesce(head.startswith("@") & plus.startswith("+") & (F.length(seq) == F.length(qual)), F.lit(False))
+    bad = F.concat(F.lit("not a FASTQ record of four lines: "), F.substring(head, 1, 40))
+    whole = whole.where(F.when(fine, F.lit(True)).otherwise(F.raise_error(bad).cast("boolean")))
+    name = F.substring(head, 2, 1 << 30)
+    return whole.select("file", F.col("place").alias("ord"), header_id(name).alias("id"), header_desc(name).alias("desc"), seq.alias("seq"), qual.alias("qual"))
+
+
 def header_id(header: Column) -> Column:
     return F.regexp_extract(header, "\\A[^ \\t]*", 0)
 
@@ -344,6 +372,12 @@ def write_fastx(df: DataFrame, path: str, format: str = "fasta", compression: st
     out.write.format("fastx").option("format", format).option("compression", compression).mode(mode).save(path)
 
 
+def write_bam(df: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Unmapped alignments as BAM part files: letters outside its sixteen become N, null qualities are missing."""
+    register(df.sparkSession)
+    df.select("ord", "id", "desc", "seq", "qual").write.format("fastx").option("format", "bam").mode(mode).save(path)
+
+
 def write_single(df: DataFrame, path: str, format: str, compression: str = "auto") -> None:
     """One file, record by record in order, through the driver; "-" is standard output."""
     import sys
@@ -365,4 +399,4 @@ def write_single(df: DataFrame, path: str, format: str, compression: str = "auto
             out.close()
 
 
-__all__ = ["FastxSource", "SequenceError", "detect", "format_by_name", "load_mapping", "load_patterns", "read_fasta_text", "read_fastx", "read_patterns", "read_sam", "write_fastx", "write_single"]
+__all__ = ["FastxSource", "SequenceError", "detect", "format_by_name", "load_mapping", "load_patterns", "read_fasta_text", "read_fastq_text", "read_fastx", "read_patterns", "read_sam", "write_bam", "write_fastx", "write_single"]

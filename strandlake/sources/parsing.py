@@ -6,6 +6,7 @@ import gzip
 import io
 import lzma
 import struct
+import zlib
 import sys
 from collections.abc import Iterable, Iterator
 
@@ -265,6 +266,32 @@ def parse_bam(stream: io.BufferedIOBase, where: str = "input") -> Iterator[Field
         yield data[32 : 32 + name - 1].decode("utf-8"), None, seq, None if not n or qual[:1] == b"\xff" else bytes(min(q + 33, 255) for q in qual).decode("latin-1")
 
 
+def _bgzf(data: bytes) -> bytes:
+    """One block of BAM's blocked gzip; an empty one ends a file."""
+    packer = zlib.compressobj(6, zlib.DEFLATED, -15)
+    body = packer.compress(data) + packer.flush()
+    head = struct.pack("<4BI2BH2BHH", 31, 139, 8, 4, 0, 0, 255, 6, 66, 67, 2, len(body) + 25)
+    return head + body + struct.pack("<II", zlib.crc32(data), len(data))
+
+
+def write_bam(out, records: Iterable[tuple[str, str, str | None]], block: int = 65_280) -> None:
+    """Unmapped alignments of (id, seq, qual) as a BAM stream."""
+    codes = {ord(c): i for i, c in enumerate(_BASES)}
+    held = bytearray(b"BAM\x01" + struct.pack("<ii", 0, 0))
+    for id_, seq, qual in records:
+        name = id_.encode() + b"\0"
+        bases = [codes.get(b, 15) for b in (seq or "").upper().encode("latin-1")]
+        packed = bytes(a << 4 | b for a, b in zip(bases[::2], [*bases[1::2], 0], strict=False))
+        quals = b"\xff" * len(bases) if qual is None else bytes(b - 33 for b in qual.encode("latin-1"))
+        data = struct.pack("<iiBBHHHiiii", -1, -1, len(name), 255, 4680, 0, 4, len(bases), -1, -1, 0) + name + packed + quals
+        held += struct.pack("<i", len(data)) + data
+        while len(held) >= block:
+            out.write(_bgzf(bytes(held[:block])))
+            del held[:block]
+    out.write(_bgzf(bytes(held)))
+    out.write(_bgzf(b""))
+
+
 def parse(path: str, format: str = "auto", compression: str = "auto", raw: bool = False, strict: bool = False, records_only: bool = True) -> Iterator[Fields]:
     """(id, desc, seq, qual) of each record of a file."""
     kind = detect(path, format, compression, records_only)

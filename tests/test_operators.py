@@ -330,6 +330,19 @@ def test_range_of_keys_with_nulls(spark):
         assert [r.i for r in sorted(got, key=lambda r: r.place)] == [x[3] for x in sorted(rows, reverse=down)]
 
 
+def test_many_patterns(spark):
+    """Beyond MOST_INLINE patterns the plan stays small and the result the same."""
+    df = frame(spark, [(f"r{i}", f"d{i}", "ACGT" * (i % 4) + "GATTACA" * (i % 2), None) for i in range(40)])
+    two = spark.createDataFrame([(i, f"r{i}", None, "A", "I", f"r{i + 3}", None, "C", "I") for i in range(40)], "ord long, id1 string, desc1 string, seq1 string, qual1 string, id2 string, desc2 string, seq2 string, qual2 string")
+    many = [f"x{i}" for i in range(300)]
+    assert ids(search.grep(df, [*many, "TTACA"], by="seq")) == ids(search.grep(df, "TTACA", by="seq"))
+    assert ids(search.grep(df, [*many, "T{2}A"], by="seq", regex=True)) == ids(search.grep(df, "TTA", by="seq"))
+    assert ids(search.grep(df, [*many, "ttaca"], by="seq", ignore_case=True, invert=True)) == ids(search.grep(df, "TTACA", by="seq", invert=True))
+    few = ["r1", "R4", "r7"]
+    for options in ({}, {"pair_mode": "both"}, {"invert": True}, {"ignore_case": True}):
+        assert ids(search.grep_pairs(two, [*many, *few], **options), "id1") == ids(search.grep_pairs(two, few, **options), "id1"), options
+
+
 # sample, shuffle, spike
 
 

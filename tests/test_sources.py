@@ -329,3 +329,48 @@ def _bad(files):
 def test_cli_reads_standard_input(files):
     got = subprocess.run([sys.executable, "-m", "strandlake.cli", "seq", "-t", "2"], input=b"@r1 desc\nAC\nGT\n+\nII\nII\n", capture_output=True, timeout=120, cwd=cli.__file__.rsplit("/", 2)[0])
     assert got.stdout == b"@r1 desc\nACGT\n+\nIIII\n", got.stderr[-500:]
+
+
+def test_fastq_by_the_text_reader(spark, tmp_path):
+    """Records of four lines, over several splits and files, with CR, empty sequences and qualities that begin with @."""
+    want = []
+    for name in ("a.fq", "b.fq.gz"):
+        body = ""
+        for i in range(400):
+            seq, qual = "ACGT" * (i % 5), "@+II" * (i % 5)
+            end = "\r\n" if i % 7 == 0 else "\n"
+            body += f"@r{i} some{i}{end}{seq}{end}+{end}{qual}{end}"
+            want.append((name, i, f"r{i}", f"some{i}", seq, qual))
+        data = (body + "\n").encode()
+        (tmp_path / name).write_bytes(__import__("gzip").compress(data) if name.endswith("gz") else data)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        got = sources.read_fastq_text(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert sorted((r.file.rsplit("/")[-1], r.ord, r.id, r.desc, r.seq, r.qual) for r in got) == sorted(want)
+    (tmp_path / "a.fq").write_text("@x\nACG\n+\nII\n")
+    with pytest.raises(Exception, match="four lines"):
+        sources.read_fastq_text(spark, str(tmp_path / "a.fq")).collect()
+
+
+def test_bam_round_trip(spark, tmp_path):
+    rows = [("d", i, f"q{i}", None, "ACGTN"[: i % 6] * 50_000, None if i % 4 == 0 else "I" * (min(i % 6, 5) * 50_000)) for i in range(12)]
+    sources.write_bam(spark.createDataFrame(rows, RECORD).coalesce(1), str(tmp_path / "out"))
+    got = {r.id: (r.seq, r.qual) for r in sources.read_fastx(spark, str(tmp_path / "out"), alignments=True).collect()}
+    assert got == {r[2]: (r[4], r[5] if r[4] else None) for r in rows}
+
+
+def test_no_local_folder_on_a_cluster():
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+        conf = {}
+
+    with pytest.raises(ValueError, match="shared folder"):
+        sources.scratch(Session(), "x")
