@@ -28,6 +28,8 @@ PAIR_COLUMNS = ("ord", *(f"{f}1" for f in FIELDS), *(f"{f}2" for f in FIELDS))
 #: Ranges of a frame that is put into order: bytes and rows that each aims at, how many there are at most, keys
 #: sampled for each, and bytes of keys that the driver holds as bounds at most.
 RANGE_BYTES, RANGE_ROWS, MOST_RANGES, SAMPLED, BOUND_BYTES = 256 << 20, 1000, 4096, 20, 16 << 20
+#: Bytes of a scan that are worth a task of their own.
+SPREAD_BYTES = 1 << 20
 #: Up to so many rows are taken by a top-k; more by positions.
 MOST_TOP_K = 100_000
 
@@ -42,6 +44,21 @@ def plan_bytes(df: DataFrame) -> int | None:
     return size if size < 1 << 60 else None
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """A scan of few large splits (a file of one row group is one task's work) dealt over the cores by a key.
+
+    Scans that have half as many splits as there are cores, or less than SPREAD_BYTES for each core that would
+    get a share, stay as they are; so does all of any size that was written in more than a few files.
+    """
+    size = plan_bytes(df)
+    if size is None or size < 4 * SPREAD_BYTES:
+        return df
+    wanted = min(df.sparkSession.sparkContext.defaultParallelism, size // SPREAD_BYTES)
+    if 2 * df._jdf.queryExecution().toRdd().getNumPartitions() >= wanted:
+        return df
+    return df.repartition(wanted, key)
+
+
 def _bounds(df: DataFrame, key: Column, kind: T.StructType, wanted: int | None) -> list[T.Row]:
     """Keys that cut df into ranges of like size, in ascending order.
 
@@ -122,7 +139,7 @@ def letters(text: Column) -> Column:
 
 def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents as FASTQ records: letters stand for bases and qualities."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id")
     own = letters(F.col("text"))
     return docs.select(
         F.lit("documents").alias("file"),
