@@ -67,14 +67,20 @@ def percent(part: Column, whole: Column) -> Column:
     return F.when(whole == 0, F.lit(0.0)).otherwise(F.lit(100.0) * part / whole)
 
 
-def _means(a: pa.Array, base: int) -> pa.Array:
+def latin_bytes(a: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all strings of a column one after another, one for each character, and where each begins."""
     a = a.cast(pa.large_string())
-    offsets = np.frombuffer(a.buffers()[1], np.int64, len(a) + 1, a.offset * 8)
+    offsets = np.frombuffer(a.buffers()[1], np.int64, len(a) + 1, a.offset * 8) if len(a) else np.zeros(1, np.int64)
     data = np.frombuffer(a.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
-    if not (data < 128).all():
-        raw = [(s or "").encode("latin-1") for s in a.to_pylist()]
-        return pa.array([(sum(x) - base * len(x)) / len(x) if x else 0.0 for x in raw], pa.float64())
-    total = np.diff(np.concatenate(([0], np.cumsum(data, dtype=np.int64)))[offsets - offsets[0]])
+    if (data < 128).all():
+        return data, offsets - offsets[0]
+    raw = [(s or "").encode("latin-1", "replace") for s in a.to_pylist()]
+    return np.frombuffer(b"".join(raw), np.uint8), np.concatenate(([0], np.cumsum([len(x) for x in raw])))
+
+
+def _means(a: pa.Array, base: int) -> pa.Array:
+    data, offsets = latin_bytes(a)
+    total = np.diff(np.concatenate(([0], np.cumsum(data, dtype=np.int64)))[offsets])
     n = np.diff(offsets)
     return pa.array(np.where(n > 0, (total - base * n) / np.maximum(n, 1), 0.0))
 
