@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import math
-import tempfile
-import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..model import spread
+from ..sources import scratch
+
 #: The ASCII white space that separates words everywhere in this subpackage.
 SPACES = " \t\n\x0b\x0c\r"
 
@@ -20,7 +21,8 @@ UNKNOWN_BYTES = 1 << 60
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the driver's, with Arrow batches that suit texts."""
     small_batches(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    table = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(table, table.columns[0])
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -49,16 +51,8 @@ def partitions_for(df: DataFrame, bytes_each: int, least: int = 1) -> int:
     return max(least, math.ceil(size / bytes_each))
 
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh path under spark.checkpoint.dir.
-
-    Where the session has no such folder (tests on one machine), one is made and set.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = tempfile.mkdtemp(prefix="strandlake-")
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+#: A fresh path under spark.checkpoint.dir; an error on a cluster that sets none.
+shared_path = scratch
 
 
 def stored(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:

@@ -2,7 +2,7 @@
 
 What is parsed are units: every line, and every sentence of `least_sentence` tokens or more in lines of
 several sentences (a sentence ends behind . ! or ? before white space), since a passage may stand anywhere
-in a line.  Tokens with a digit are variable fields, <*>; a unit of which more than half are variable keeps
+in a line; with `least_sentence` None lines alone.  Tokens with a digit are variable fields, <*>; a unit of which more than half are variable keeps
 its tokens as they are, and one without any constant token has no leaf.  The path of a unit is
 
     number of tokens  ->  LEADING leading tokens  ->  the rest, as a template
@@ -57,7 +57,7 @@ class Parsed:
     all lines and sentences, and a variable quarter is taken out by one difference.
     """
 
-    def __init__(self, text: bytes, least_field: int = LEAST_FIELD, least_sentence: int = LEAST_SENTENCE):
+    def __init__(self, text: bytes, least_field: int = LEAST_FIELD, least_sentence: int | None = LEAST_SENTENCE):
         raw = np.frombuffer(text, np.uint8)
         inside = np.concatenate(([False], _WORDS.inside[raw], [False]))
         turns = np.flatnonzero(inside[1:] != inside[:-1])
@@ -97,7 +97,8 @@ class Parsed:
         at, until = edges(new_sentence)
         self.first, self.sentence_line = at, line[at]
         several = np.bincount(self.sentence_line, minlength=len(self.breaks) + 1)[self.sentence_line] > 1 if len(at) else np.zeros(0, bool)
-        self.sentence_leaves = np.where(several & (until - at >= least_sentence), leaves(at, until, False)[0], 0)
+        wanted = several & (until - at >= least_sentence) if least_sentence is not None else np.zeros(len(at), bool)
+        self.sentence_leaves = np.where(wanted, leaves(at, until, False)[0], 0)
 
     def leaves(self) -> tuple[np.ndarray, np.ndarray]:
         """Lines and leaves of all units."""
@@ -107,7 +108,7 @@ class Parsed:
         return lines[keep], found[keep]
 
 
-def leaves(line: bytes, least_field: int = LEAST_FIELD, least_sentence: int = LEAST_SENTENCE) -> list[int]:
+def leaves(line: bytes, least_field: int = LEAST_FIELD, least_sentence: int | None = LEAST_SENTENCE) -> list[int]:
     """The leaves of a line and of its sentences."""
     return Parsed(line, least_field, least_sentence).leaves()[1].tolist()
 
@@ -117,7 +118,7 @@ def _owned(found: np.ndarray, owner: np.ndarray | int) -> np.ndarray:
     return found.view(np.uint64) ^ (np.asarray(owner).astype(np.uint64) + np.uint64(1)) * _M3
 
 
-def without(texts: list[bytes], held: list[np.ndarray], least_field: int = LEAST_FIELD, least_sentence: int = LEAST_SENTENCE) -> list[tuple[bytes, int, int]]:
+def without(texts: list[bytes], held: list[np.ndarray], least_field: int = LEAST_FIELD, least_sentence: int | None = LEAST_SENTENCE) -> list[tuple[bytes, int, int]]:
     """Each text without units of its held leaves, how many lines went, and how many sentences of others."""
     if not texts:
         return []
@@ -158,7 +159,7 @@ def without(texts: list[bytes], held: list[np.ndarray], least_field: int = LEAST
     return out
 
 
-def recurring(docs: DataFrame, least_documents: int = 2, least_field: int = LEAST_FIELD, least_sentence: int = LEAST_SENTENCE) -> DataFrame:
+def recurring(docs: DataFrame, least_documents: int = 2, least_field: int = LEAST_FIELD, least_sentence: int | None = LEAST_SENTENCE) -> DataFrame:
     """doc_id and leaf: the templates that a document has to drop."""
 
     def run(batches):
@@ -181,7 +182,7 @@ def recurring(docs: DataFrame, least_documents: int = 2, least_field: int = LEAS
     return rows.join(counted, "leaf").where("doc_id <> first").select("doc_id", "leaf")
 
 
-def drop_recurring(docs: DataFrame, least_documents: int = 2, least_field: int = LEAST_FIELD, least_sentence: int = LEAST_SENTENCE) -> DataFrame:
+def drop_recurring(docs: DataFrame, least_documents: int = 2, least_field: int = LEAST_FIELD, least_sentence: int | None = LEAST_SENTENCE) -> DataFrame:
     """docs with what recurs removed from text; n_lines (before), n_dropped (lines) and n_cut (sentences of other lines)."""
     docs = docs.drop("n_lines", "n_dropped", "n_cut")
     owner, found = unused(docs, "_doc"), unused(docs, "_leaves")

@@ -225,7 +225,7 @@ def test_components(spark, one_task):
 # Line templates
 
 
-def brute_lines(rows):
+def brute_lines(rows, by_sentence=True):
     """text, n_lines, n_dropped and n_cut of each document, unit by unit in plain Python."""
 
     def tokens(unit):
@@ -247,7 +247,7 @@ def brute_lines(rows):
 
     def part(sentence):
         t = tokens(sentence)
-        return {(len(t), None, tuple(t))} if len(t) >= 8 else set()
+        return {(len(t), None, tuple(t))} if by_sentence and len(t) >= 8 else set()
 
     owners = {}
     for i, text in rows:
@@ -301,6 +301,8 @@ def test_short_lines_and_passages_within_lines(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     got = {r.doc_id: (r.text, r.n_lines, r.n_dropped, r.n_cut) for r in line_templates.drop_recurring(df).collect()}
     assert got == brute_lines(list(enumerate(texts)))
+    whole = {r.doc_id: (r.text, r.n_lines, r.n_dropped, r.n_cut) for r in line_templates.drop_recurring(df, least_sentence=None).collect()}
+    assert whole == brute_lines(list(enumerate(texts)), by_sentence=False) and whole[3][0] == texts[3]
     assert got[1] == ("its own line\n42", 3, 1, 0) and got[2][0] == texts[2] and got[3] == ("Quite another end.", 1, 0, 2)
     assert got[4] == ("", 1, 1, 0) and got[5][0] == texts[5] and got[6][0] == texts[6]
 
