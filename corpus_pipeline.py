@@ -32,11 +32,15 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Recurring lines and sentences go from all documents but the first; documents of which nothing is left go too."""
+    """Recurring lines go from all documents but the first; documents of which nothing is left go too.
+
+    Whole lines alone: a benchmark passage within a line has to reach decontamination as it is, since one that
+    is cut at its sentences leaves their ends behind in documents that would then pass.
+    """
     small_batches(spark)
     names = docs.columns
     kept = {n: unused(docs, n + "_kept") for n in ("n_lines", "n_dropped", "n_cut") if n in names}
-    out = line_templates.drop_recurring(docs.withColumnsRenamed(kept))
+    out = line_templates.drop_recurring(docs.withColumnsRenamed(kept), least_sentence=None)
     out = out.where("n_lines = 0 or n_dropped < n_lines").drop("n_lines", "n_dropped", "n_cut").withColumnsRenamed({b: a for a, b in kept.items()})
     if "n_chars" in names:
         out = out.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"]))
