@@ -13,8 +13,7 @@ So every window but a shard's last is full.  A shard holds at most SHARD_IDS ids
 is one shard): memory is bounded, and no shard depends on another.
 
 A null text is empty and has only the end id.  Rows that repeat a doc_id are packed one by one, rows without
-one are left out.  Extra
-columns are ignored; an empty table gives no pieces.
+one are left out.  Extra columns are ignored; an empty table gives no pieces.
 """
 
 from __future__ import annotations
@@ -151,7 +150,7 @@ def tokenize(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
     return stored(rows.mapInArrow(run, "doc_id long, signature long, width int, ids binary"), "tokens")
 
 
-def pack(docs: DataFrame, vocabulary: str, window: int = 1024, end_id: int = 0, bytes_each: int = 16 << 20) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str, window: int = 1024, end_id: int = 0, bytes_each: int = 8 << 20) -> DataFrame:
     """Pieces of all documents: doc_id, start, length, doc_tokens, sequence_id, offset and ids (u32 bytes)."""
     tokens = tokenize(docs, vocabulary, end_id)
     parts = partitions_for(docs, bytes_each)  # of the table as it is stored: an estimate by columns knows no long texts
