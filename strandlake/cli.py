@@ -7,6 +7,7 @@ Standard input is spooled to a file first, since Spark reads files.
 from __future__ import annotations
 
 import argparse
+import atexit
 import os
 import shutil
 import sys
@@ -42,6 +43,7 @@ def spooled(path: str | None) -> str:
         return path
     with tempfile.NamedTemporaryFile(prefix="stdin-", delete=False) as f:
         shutil.copyfileobj(sys.stdin.buffer, f)
+    atexit.register(os.remove, f.name)
     return f.name
 
 

@@ -20,12 +20,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 from ..functions import full_name
-from ..model import RECORD
+from ..model import RECORD, plan_bytes
 from . import parsing
 from .parsing import SequenceError, codec_of, detect, format_by_name
 
 _ARROW = pa.schema([("file", pa.string()), ("ord", pa.int64()), ("id", pa.string()), ("desc", pa.string()), ("seq", pa.string()), ("qual", pa.string())])
 _BATCH_BYTES = 4 << 20
+#: Up to so many rows, one a file or split, are broadcast (some 100 MB).
+MOST_BLOCKS = 1_000_000
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -218,15 +220,22 @@ def read_fastx(spark: SparkSession, paths, format: str = "auto", compression: st
     return spark.read.format("fastx").options(**options).load()
 
 
+def _small(blocks: DataFrame, rows: DataFrame) -> DataFrame:
+    """blocks - at most a row for each file of rows' scan and each split of its bytes - to be broadcast where that bounds them."""
+    most = len(rows.inputFiles()) + (plan_bytes(rows) or 0) // (64 << 20)
+    return F.broadcast(blocks) if most <= MOST_BLOCKS else blocks
+
+
 def _numbered(rows: DataFrame) -> DataFrame:
     """rows(file, block, at, ...) with ord by file, block and place, and the helpers dropped.
 
-    Only one row for each block of a file (some 128 MB) is summed up and broadcast.
+    Only one row for each block of a file (some 128 MB) is summed up and broadcast.  `at` counts the lines of
+    a task, and both uses of it read the same splits: how a scan is cut follows from its files and settings.
     """
     blocks = rows.groupBy("file", "block").agg(F.count("*").alias("n"), F.min("at").alias("first"))
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     starts = blocks.select("file", "block", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    return rows.join(F.broadcast(starts), ["file", "block"]).withColumn("ord", F.col("before") + F.col("at") - F.col("first"))
+    return rows.join(_small(starts, rows), ["file", "block"]).withColumn("ord", F.col("before") + F.col("at") - F.col("first"))
 
 
 def _lines(df: DataFrame) -> DataFrame:
@@ -242,7 +251,7 @@ def read_fasta_text(spark: SparkSession, paths) -> DataFrame:
     rows = _numbered(_lines(spark.read.option("lineSep", "\n>").text(paths)).withColumn("at", F.monotonically_increasing_id()))
     blank = (F.col("ord") == 0) & F.col("value").rlike("\\A[\\r\\n]*\\z")
     starts = rows.where(blank).select("file", F.lit(1).alias("lead")).distinct()
-    rows = rows.where(~blank).join(F.broadcast(starts), "file", "left").withColumn("lead", F.coalesce("lead", F.lit(0)))
+    rows = rows.where(~blank).join(_small(starts, rows), "file", "left").withColumn("lead", F.coalesce("lead", F.lit(0)))
     whole = F.when(F.col("ord") == 0, F.regexp_replace("value", "\\A[\\r\\n]*", "")).otherwise(F.concat(F.lit(">"), F.col("value")))
     rows = rows.withColumn("value", whole).withColumn("ord", F.col("ord") - F.col("lead"))
     bad = F.concat(F.lit("a record begins with "), F.substring("value", 1, 20))
