@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..model import spread
@@ -81,14 +81,18 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
-def hashed_sample(df: DataFrame, key: str, most: int) -> DataFrame:
-    """The `most` rows of the least hashes of `key`.
+def hashed_sample(df: DataFrame, key: str, most: int, where: Column | None = None) -> DataFrame:
+    """Of the rows for which `where` holds the `most` with the least hashes of `key`.
 
-    Where there are many more rows, only the share of hashes that holds some four times `most` is ranked, so
-    what tasks send on is bounded by `most` and not by their number.
+    Shares of the rows, by hash, are looked at until one holds enough, so `where` is seldom asked of all rows,
+    and what tasks send on is bounded by `most` and not by their number.  The share changes no result.
     """
-    order = F.xxhash64(key)
+    order, span = F.pmod(F.xxhash64(key), F.lit(1 << 30)), 1 << 30
     rows = df.count()
-    if rows > 8 * most:
-        df = df.where(F.pmod(order, F.lit(1 << 30)) < int((1 << 30) * 4 * most / rows))
-    return df.orderBy(F.pmod(order, F.lit(1 << 30)), key).limit(most)
+    share = min(1.0, 32 * most / max(rows, 1))
+    while True:
+        part = df if share >= 1 else df.where(order < int(span * share))
+        part = part if where is None else part.where(where)
+        if share >= 1 or part.count() >= most:
+            return part.orderBy(order, key).limit(most)
+        share = min(1.0, 8 * share)

@@ -411,8 +411,9 @@ def examples(texts: list[str], written: int = 1600, seed: int = 11, spans_each:
 
 def train(docs: DataFrame, most_texts: int = 400, longest: int = 20_000, written: int = 1600, seed: int = 3) -> Network:
     """Fit on at most `most_texts` texts of at most `longest` code points that hold a digit or @, chosen by a hash."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.col("text").rlike("@|\\+[0-9]|[0-9]{10}")).where(F.length("text") <= longest)
-    texts = [r.text for r in hashed_sample(rows, "doc_id", most_texts).select("text").collect()]
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    tells = F.col("text").rlike("@|\\+[0-9]|[0-9]{10}") & (F.length("text") <= longest)
+    texts = [r.text for r in hashed_sample(rows, "doc_id", most_texts, tells).select("text").collect()]
     net = Network.fresh(seed=seed)
     x, y, m = examples(texts, written)
     if len(x):

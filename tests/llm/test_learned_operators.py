@@ -300,6 +300,17 @@ def test_pii_of_nothing_and_odd_rows(none, odd):
     assert hashlib.sha256(b"").hexdigest()
 
 
+def test_samples_follow_the_hashes(spark):
+    """The rows of least hashes that qualify, however many rows there are and whichever share holds them."""
+    from strandlake.llm.common import hashed_sample
+
+    df = spark.range(20_000).selectExpr("id as doc_id", "id % 500 = 3 as rare").repartition(5)
+    for where in (None, F.col("rare"), F.lit(False)):
+        got = [r.doc_id for r in hashed_sample(df, "doc_id", 10, where).collect()]
+        ranked = df.where(F.lit(True) if where is None else where).orderBy(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)), "doc_id")
+        assert got == [r.doc_id for r in ranked.limit(10).collect()]
+
+
 # The queries' columns
 
 
