@@ -148,9 +148,31 @@ _LOOK = re.compile(r"\(\?(?:[=!]|<[=!])")
 _BACK = re.compile(r"(?<!\\)(?:\\\\)*\\[1-9]")
 
 
+_ALIEN = re.compile(r"(?<!\\)(?:\\\\)*\\[QEGZRXNhHVkKC]|\(\?>")
+_SETS = re.compile(r"\[(?:[^\]\\]|\\.)*?(?:--|~~)(?:[^\]\\]|\\.)*\]")
+_CLASS = re.compile(r"\[:(\^?)([a-z]+):\]")
+#: ASCII classes that may be named within brackets.
+ASCII_CLASSES = {
+    "alnum": "0-9A-Za-z", "alpha": "A-Za-z", "ascii": r"\x00-\x7F", "blank": r"\t ", "cntrl": r"\x00-\x1F\x7F", "digit": "0-9", "graph": "!-~", "lower": "a-z",
+    "print": " -~", "punct": r"!-/:-@\[-`{-~", "space": r"\t\n\x0B\f\r ", "upper": "A-Z", "word": "0-9A-Za-z_", "xdigit": "0-9A-Fa-f",
+}
+
+
 def checked_pattern(pattern: str) -> str:
+    """The pattern with named ASCII classes written out; what only one dialect knows is an error."""
     if _LOOK.search(pattern) or _BACK.search(pattern):
         raise ValueError(f"look-around and back-references aren't supported: {pattern!r}")
+    if _ALIEN.search(pattern):
+        raise ValueError(f"an escape or group that isn't supported: {pattern!r}")
+
+    def written(m: re.Match) -> str:
+        if m[1] or m[2] not in ASCII_CLASSES:
+            raise ValueError(f"the class {m[0]} isn't supported: {pattern!r}")
+        return ASCII_CLASSES[m[2]]
+
+    pattern = _CLASS.sub(written, pattern)
+    if _SETS.search(pattern):
+        raise ValueError(f"differences of sets aren't supported: {pattern!r}")
     return pattern
 
 

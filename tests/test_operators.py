@@ -330,6 +330,15 @@ def test_range_of_keys_with_nulls(spark):
         assert [r.i for r in sorted(got, key=lambda r: r.place)] == [x[3] for x in sorted(rows, reverse=down)]
 
 
+def test_dialect_of_patterns(spark):
+    for bad in (r"\Qa.b\E", r"a\Gb", r"x\Z", "(?>a)b", "[a-z--m]", "[a~~b]", "[[:^alpha:]]", "[[:nope:]]", r"\R", r"\h"):
+        with pytest.raises(ValueError):
+            X.checked_pattern(bad)
+    assert X.checked_pattern(r"[[:digit:]_-]\\Q") == r"[0-9_-]\\Q" and X.checked_pattern("a--b[-x]") == "a--b[-x]"
+    df = frame(spark, [("a1", None, "A", None), ("é2", None, "C", None), ("_", None, "G", None)])
+    assert ids(search.grep(df, "^[[:alpha:]]", regex=True)) == ["a1"] and ids(search.grep(df, r"^\w[[:digit:]]$", regex=True)) == ["a1", "é2"]
+
+
 def test_many_patterns(spark):
     """Beyond MOST_INLINE patterns the plan stays small and the result the same."""
     df = frame(spark, [(f"r{i}", f"d{i}", "ACGT" * (i % 4) + "GATTACA" * (i % 2), None) for i in range(40)])
