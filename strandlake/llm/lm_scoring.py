@@ -240,7 +240,8 @@ def scores(docs: DataFrame, order: int = ORDER, least_count: int = LEAST_COUNT,
     first = dealt.sortWithinPartitions("chunk").select("chunk", "doc_id", "text").mapInArrow(_ask(min(order, 2), chunks), ASKED)
 
     def answered(asked: DataFrame) -> DataFrame:
-        return asked.repartition(chunks, "part").sortWithinPartitions("part").mapInArrow(_answer, ANSWERED)
+        # By its number: a hash of it would put several parts into one task and none into others.
+        return asked.repartitionById(chunks, "part").sortWithinPartitions("part").mapInArrow(_answer, ANSWERED)
 
     def beside(answers: DataFrame, f, schema: str) -> DataFrame:
         return dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(f, schema)
