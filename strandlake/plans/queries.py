@@ -489,6 +489,13 @@ def bam_scan(spark, sf_dir):
     return fields(sources.read_fastx(spark, path, alignments=True)).drop("desc")
 
 
+@query(_stats_sql(f"SELECT *, 'reads' AS file FROM {R}", fmt="bam"))
+def stats_bam(spark, sf_dir):
+    path = sources.scratch(spark, "bam")
+    sources.write_bam(reads(spark, sf_dir), path)
+    return stats.stats(sources.read_fastx(spark, path, alignments=True).withColumn("file", F.lit("reads")), format="bam")
+
+
 _TSV = "concat_ws(chr(9), file, format, seq_type, records, total_bases, min_len, max_len, printf('%.3f', mean_len), printf('%.3f', gc_pct), n50)"
 
 
@@ -518,6 +525,13 @@ def grep_pattern_file(spark, sf_dir):
     return search.grep(reads(spark, sf_dir), sources.read_patterns(spark, path), invert=True).select("ord", "id")
 
 
+@query(f"SELECT ord, '$' || regexp_extract(id, '([0-9])([0-9]*)$', 1) || 'x' || regexp_extract(id, '([0-9])([0-9]*)$', 2) || '/' AS id FROM {R}")
+def rename_regex_groups(spark, sf_dir):
+    """$$ is a dollar, ${1}x the first group and an x, $1x a group of that name, which there isn't."""
+    found = rename.rename(reads(spark, sf_dir), mode="regex", match_regex=r"^\w*?(\d)(?<rest>\d*)$", replace="$$${1}x${rest}/$1x")
+    return found.select("ord", "id")
+
+
 # A filter and a sort in one plan.
 
 
