@@ -1,7 +1,7 @@
 """Operator 5, packing: lexical retrieval into windows of fixed length.
 
-1. Every document becomes its token ids and an end id; a signature of its pairs of neighbouring ids (the
-   least hash of any pair) goes with it.  The table is written once.
+1. Every document becomes its token ids and an end id; a signature of its pairs of neighbouring ids (from
+   the pair of the least hash) goes with it.  The table is written once.
 2. Documents are dealt out by ranges of (signature, doc_id): texts that share passages come to lie in one
    shard, and a large group of copies is split over as many shards as it needs.
 3. Each shard keeps a BM25 inverted index of its pieces' ids.  Whole windows of long documents are cut off
@@ -35,14 +35,19 @@ PIECES = "doc_id long, start long, length long, doc_tokens long, sequence_id lon
 
 
 def signature(ids: np.ndarray) -> int:
-    """The least hash of any pair of neighbouring ids."""
+    """A hash of the pair of neighbouring ids that has the least hash.
+
+    The least hash itself falls with a text's length, and ranges of it would put all long texts into one.
+    """
     if len(ids) < 2:
         return -1
     pairs = ids[:-1].astype(np.uint64) << np.uint64(32) | ids[1:]
     pairs *= np.uint64(0x9E3779B97F4A7C15)
     pairs ^= pairs >> np.uint64(29)
     pairs *= np.uint64(0xBF58476D1CE4E5B9)
-    return int(pairs.min() >> np.uint64(1))
+    least = int(pairs.min())
+    mixed = (least ^ least >> 30) * 0x94D049BB133111EB & (1 << 64) - 1
+    return (mixed ^ mixed >> 31) >> 1
 
 
 class Index:
